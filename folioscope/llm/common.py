@@ -131,7 +131,7 @@ class Words:
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACE):
         raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        b = LOWER[raw]
+        b = self.bytes = LOWER[raw]
         sep = separators[b]
         edge = np.diff(sep.view(np.int8), prepend=np.int8(1))
         self.start = np.flatnonzero(edge == -1)
@@ -144,6 +144,14 @@ class Words:
         self.offset = np.concatenate([[0], np.cumsum(lens)])
         self.first = np.searchsorted(self.start, self.offset)
 
+    def stems(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word (of a shorter word all it has)."""
+        code = np.full(len(self.start), n, np.uint64)
+        for k in range(n):
+            at = self.start + k
+            code = code * P + np.where(at < self.end, self.bytes[np.minimum(at, len(self.bytes) - 1)], 0).astype(np.uint64)
+        return mix(code)
+
     def shingles(self, i: int, n: int) -> np.ndarray:
         """Distinct sorted hashes of the n-word shingles of text i; a shorter text is one shingle, an empty one none."""
         return shingle_set(self.h[self.first[i] : self.first[i + 1]], n)

@@ -5,8 +5,9 @@ copies of any size costs one row a task). Every representative keeps the first t
 global order that puts corpus-wide frequent tokens last. Representatives that share such tokens with the
 same leader form a *group*; a member belongs to it only if its exact similarity to the leader passes. The
 token-group matrix then holds one row for each (token, group) of the groups' token unions. A query document
-meets a group it is not in only through that matrix; the number of its tokens found in the union bounds its
-overlap with every member, and only groups whose bound reaches the least possible overlap are opened, their
+meets a group it is not in only through that matrix; the number of its tokens found in the union, and
+the tokens before the first of them, bound its overlap with every member; only groups whose bound reaches the
+least possible overlap are opened, their
 members filtered by size and compared exactly. No pairs are made within a group.
 
 Why nothing is lost: with overlap of at least a = ceil(t*n) tokens, the first n - a + k tokens of both sets,
@@ -90,7 +91,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
                     keep = min(m, m - int(least_overlap(m, percent)) + int(needed(m, percent)))
                     if m:
                         key = (table[(s & np.uint64(LEVELS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
-                        key = np.partition(key, keep - 1)[:keep] if keep < m else key
+                        key = np.sort(np.partition(key, keep - 1)[:keep] if keep < m else key)
                         lead.append(key.view(np.int64))
                     else:
                         lead.append(np.empty(0, np.int64))
@@ -145,11 +146,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     # one representative for each distinct set
     reps = materialise(spark, sig.where("n > 0 and doc_id is not null").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")), folder, "reps")
     own = sig.where("n > 0").select("doc_id", "n", "x", "y", "lead").join(reps, ["n", "x", "y"]).where("doc_id = rep").dropDuplicates(["rep", "x", "y"])
-    rows = own.select("rep", F.col("n").cast("int").alias("n"), F.explode("lead").alias("token"))
+    rows = own.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("lead").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy("rep", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shared = (
-        rows.select("rep", "n", "token", F.min("rep").over(by_token).alias("lead"), F.lead("rep").over(Window.partitionBy("token").orderBy("rep", "n")).alias("more"))
-        .where("lead <> rep or more <> rep").select("token", "rep", "n", "lead")
+        rows.select("rep", "n", "pos", "token", F.min("rep").over(by_token).alias("lead"), F.lead("rep").over(Window.partitionBy("token").orderBy("rep", "n")).alias("more"))
+        .where("lead <> rep or more <> rep").select("token", "rep", "n", "pos", "lead")
     )
     postings = materialise(spark, shared, folder, "postings")
     # groups: each representative may join the leader it shares most with
@@ -165,15 +166,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     star_links = materialise(spark, _verified(stars, texts, words, percent), folder, "star-links")
     groups = connected_components(spark, star_links, folder, "groups")
     # token-group matrix, and queries that meet groups other than their own
-    held = postings.join(groups.select(F.col("node").alias("rep"), F.col("label").alias("group")), "rep", "left").withColumn("group", F.coalesce("group", "rep")).select("token", "rep", "n", "group")
+    held = postings.join(groups.select(F.col("node").alias("rep"), F.col("label").alias("group")), "rep", "left").withColumn("group", F.coalesce("group", "rep")).select("token", "rep", "n", "pos", "group")
     several = held.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
     held = materialise(spark, held.join(several, "token", "left_semi"), folder, "held")
-    matrix = held.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    q = held.select("token", "rep", "n", F.col("group").alias("own"))
+    matrix = held.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    q = held.select("token", "rep", "n", "pos", F.col("group").alias("own"))
     fits = (F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent)
     # a pair is looked for from the side whose group is the larger id
-    bound = 1 + F.floor(F.col("n") * percent * 2 / 10000)
-    opened = q.join(matrix, "token").where((F.col("own") > F.col("group")) & fits).groupBy("rep", "n", "group").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= bound)
+    met = q.join(matrix, "token").where((F.col("own") > F.col("group")) & fits).groupBy("rep", "n", "group").agg(
+        F.count(F.lit(1)).alias("found"), F.min("pos").alias("pos"), F.max("room").alias("room"), F.min("least_n").alias("least_n")
+    )
+    # tokens before the first shared one are missing from every member, so at most n - pos are shared (and no more than ``room`` on
+    # the member's side); a member of m tokens asks for percent / (100 + percent) of n + m, and m is no smaller than fits allows
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
+    asked = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
+    opened = met.where((F.col("found") >= 1 + F.floor(F.col("n") * percent * 2 / 10000)) & (F.least(F.col("n") - F.col("pos"), F.col("room")) >= asked))
     opened = materialise(spark, opened.select("rep", "n", "group"), folder, "opened")
     members = held.select(F.col("rep").alias("member"), F.col("n").alias("m"), "group").distinct()
     pairs = opened.join(members, "group").where((F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)).select(F.col("rep").alias("a"), F.col("member").alias("b"))
