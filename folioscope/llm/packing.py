@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,41 +24,80 @@ from .common import ship
 
 #: Characters that Python's split() takes for white space and the tokenizer does not, and the start of its special tokens.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-WORDS_HELD = 600_000
+#: Outside of these ranges lower case and letter classes are left to the tokenizer.
+_WIDE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: What the tokenizer cuts text into before it merges: each is merged by itself and ends with one token of a word's end.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words kept for good, and further words and pieces kept until as many are there.
+WORDS_HELD, WORDS_PASSING, PIECES_HELD = 400_000, 150_000, 500_000
 
 
 class WordTokenizer:
     """Token ids of whole texts from the ids of their words.
 
     The tokenizer file normalises with NFC, white space to one space and lower case, and drops white space between
-    words, so no token spans it: ids of a text are those of its words in a row. Words are held in a bounded table;
-    texts with the odd characters above go through the tokenizer whole.
+    words, so no token spans it: ids of a text are those of its words in a row. Words and the pieces they are made of
+    are held in bounded tables; texts with the odd characters above go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        ends = [i for token, i in self.t.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
         self.held: dict[str, bytes] = {}
+        self.passing: list[str] = []
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """One call for all: tokens that end a word part the pieces."""
+        ids = np.array(self.t.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(pieces):
+            raw, at = ids.tobytes(), (cut * 4).tolist()
+            self.pieces.update(zip(pieces, (raw[x:y] for x, y in zip([0, *at[:-1]], at))))
+        else:
+            self.pieces.update(zip(pieces, self._ids(pieces)))
+
+    def _learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
+        new = list(dict.fromkeys(words))
+        if plain:
+            parts = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else _PIECE.findall(w) for w in new]
+            pieces = self.pieces
+            if len(pieces) > PIECES_HELD:
+                pieces.clear()
+            missing = list({p for ps in parts for p in ps if p not in pieces})
+            if missing:
+                self._encode_pieces(missing)
+            got = [b"".join([pieces[p] for p in ps]) for ps in parts]
+        else:
+            got = self._ids(new)
+        if len(self.held) >= WORDS_HELD:
+            if len(self.passing) > WORDS_PASSING:
+                for w in self.passing:
+                    del self.held[w]
+                self.passing.clear()
+            self.passing += new
+        fresh = dict(zip(new, got))
+        self.held.update(fresh)
+        return fresh
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if _ODD.search(text):
             return self._ids([text])[0]
-        words = (text.lower() if text.isascii() else text).split()
-        held = self.held
-        try:
-            return b"".join([held[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in held]
-        if len(held) > WORDS_HELD:
-            held.clear()
-            new = list(dict.fromkeys(words))
-        held.update(zip(new, self._ids(new)))
-        return b"".join([held[w] for w in words])
+        plain = not _WIDE.search(text)
+        words = (text.lower() if plain else text).split()
+        ids = list(map(self.held.get, words))
+        if None in ids:
+            fresh = self._learn([w for w, x in zip(words, ids) if x is None], plain)
+            ids = [fresh[w] if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 def tokenizer(path: str) -> WordTokenizer:
