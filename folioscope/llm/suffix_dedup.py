@@ -1,9 +1,10 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept at minimiser positions of the words, which depend on content alone, so equal passages keep equal
-suffixes. They are sorted by hashes of their leading words (blocks of a suffix array over hashed words); neighbours in
-the order that share the first block name a match. Matches on one diagonal of two documents are then extended left
-and right over the words themselves. Each suffix meets one neighbour, so work is linear in a passage's copies.
+suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it;
+neighbours in the order that share the block name a match. Matches on one diagonal of two documents are then
+extended left and right over the words themselves. Each suffix meets its two neighbours, so work is linear in a
+passage's copies.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, bloom, bloom_filter, chunks, materialise, rolling, shared_dir, ship
+from .common import Words, bloom, bloom_filter, chunks, discard, materialise, rolling, shared_dir, ship
 
 KMER = 6
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest k-word hash of every ``window`` positions in a row; of equal ones the last, so a run of one word keeps few."""
+    """Positions of the smallest k-word hash of every ``window`` positions in a row; of equal ones the last. Where one word repeats,
+    only every ``window``-th position counts, from the start of the repeats on, so such stretches keep few suffixes too."""
     k = rolling(h, KMER)
     if len(k) == 0:
         return np.empty(0, np.int64)
+    at = np.arange(len(k))
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), at, 0))
+    k = np.where((at - start) % window == 0, k, np.uint64(0xFFFFFFFFFFFFFFFF))
     if len(k) <= window:
         return np.array([len(k) - 1 - int(np.argmin(k[::-1]))])
     view = np.lib.stride_tricks.sliding_window_view(k, window)[:, ::-1]
@@ -30,15 +35,27 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
+def _codes(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> np.ndarray:
+    """Eight 8-bit hashes of word pairs that lead away from ``at`` (step 1: to the right of it, -1: to the left), the nearest in the
+    highest bits, so codes in order put alike contexts side by side. Pairs that pass low..high count as nothing."""
+    out = np.zeros(len(at), np.uint64)
+    pair = rolling(h, 2) >> np.uint64(56) if len(h) > 1 else np.zeros(1, np.uint64)
+    for k in range(8):
+        p = at + 2 * k if step > 0 else at - 2 * k - 2
+        ok = (p >= low) & (p + 2 <= high)
+        out |= np.where(ok, pair[np.clip(p, 0, len(pair) - 1)], np.uint64(0)) << np.uint64(56 - 8 * k)
+    return out
+
+
 def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
-    """doc_id, pos, key (hash of the first ``block`` words), more (hash of the next eight, or of what is left)."""
+    """doc_id, pos, key (hash of the first ``block`` words), and codes of what stands before (left) and after them (more)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1).to_pylist()):
                 w = Words(part)
-                keys, nexts = rolling(w.h, block), rolling(np.concatenate([w.h, np.zeros(8, np.uint64)]), 8)
+                keys = rolling(w.h, block)
                 out_d, out_p = [], []
                 for i in range(len(part)):
                     a, b = w.first[i], w.first[i + 1]
@@ -50,11 +67,12 @@ def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
                 if not out_p:
                     continue
                 p, d = np.concatenate(out_p), np.concatenate(out_d)
-                g = p + w.first[d]
-                whole = g + block + 8 <= w.first[d + 1]
-                yield pa.record_batch({"doc_id": pa.array(ids[at + d].astype(np.int64)), "pos": pa.array(p.astype(np.int32)), "key": pa.array(keys[g].view(np.int64)), "more": pa.array(np.where(whole, nexts[np.minimum(g + block, len(nexts) - 1)], np.uint64(0)).view(np.int64))})
+                low, high = w.first[d], w.first[d + 1]
+                g = p + low
+                left, more = _codes(w.h, g, low, high, -1), _codes(w.h, g + block, low, high, 1)
+                yield pa.record_batch({"doc_id": pa.array(ids[at + d].astype(np.int64)), "pos": pa.array(p.astype(np.int32)), "key": pa.array(keys[g].view(np.int64)), "left": pa.array(left.view(np.int64)), "more": pa.array(more.view(np.int64))})
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pos int, key long, more long")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pos int, key long, left long, more long")
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
@@ -69,22 +87,22 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
         prev = None  # (key, doc, pos) of the last row, and the partner that its document has in this run
         partner = None
         first_key, last = None, None
-        names = ["doc_id", "pos", "key", "other", "other_pos", "kind"]
+        names = ["doc_id", "pos", "key", "left", "more", "other", "other_pos", "kind"]
 
-        def out(d, p, k, o, op, kind):
+        def out(d, p, k, lf, mr, o, op, kind):
             n = len(d)
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(p, np.int32)), pa.array(np.asarray(k, np.int64)), pa.array(np.asarray(o, np.int64)), pa.array(np.asarray(op, np.int32)), pa.array(np.full(n, kind, np.int32))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(p, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (k, lf, mr, o)), pa.array(np.asarray(op, np.int32)), pa.array(np.full(n, kind, np.int32))], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, p, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            d, p, k, lf, mr = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             n = len(d)
             new_key = np.concatenate([[prev is None or k[0] != prev[0]], k[1:] != k[:-1]])
             new_doc = new_key | np.concatenate([[prev is None or d[0] != prev[1]], d[1:] != d[:-1]])
             if first_key is None:
                 first_key = k[0]
-                yield out([d[0]], [p[0]], [k[0]], [-1], [-1], 2)
+                yield out([d[0]], [p[0]], [k[0]], [0], [0], [-1], [-1], 2)
             block = np.maximum.accumulate(np.where(new_doc, np.arange(n), -1))  # -1: the block goes on from the last batch
             before = block - 1
             o, op = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -114,19 +132,19 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
                 first_new = starts[0] if len(starts) else n
                 if first_new < n:
                     if k[first_new] == held[2][0]:
-                        yield out(held[0], held[1], held[2], np.full(len(held[0]), d[first_new]), np.full(len(held[0]), p[first_new]), 0)
+                        yield out(*held, np.full(len(held[0]), d[first_new]), np.full(len(held[0]), p[first_new]), 0)
                     elif held[2][0] == first_key:
                         yield out(*held, np.full(len(held[0]), -1), np.full(len(held[0]), -1), 1)
                     held = None
             if found.any():
-                yield out(d[found], p[found], k[found], o[found], op[found], 0)
+                yield out(d[found], p[found], k[found], lf[found], mr[found], o[found], op[found], 0)
             left = np.flatnonzero(~found)
             tail = left[nxt[left] == n]
             gone = left[(nxt[left] < n) & (k[left] == first_key)]
             if len(gone):
-                yield out(d[gone], p[gone], k[gone], np.full(len(gone), -1), np.full(len(gone), -1), 1)
+                yield out(d[gone], p[gone], k[gone], lf[gone], mr[gone], np.full(len(gone), -1), np.full(len(gone), -1), 1)
             if len(tail):
-                keep = (d[tail], p[tail], k[tail])
+                keep = (d[tail], p[tail], k[tail], lf[tail], mr[tail])
                 held = keep if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, keep))
             partner = (o[-1], op[-1]) if found[-1] else None
             prev = (k[-1], d[-1], p[-1])
@@ -134,9 +152,9 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
         if held is not None:
             yield out(*held, np.full(len(held[0]), -1), np.full(len(held[0]), -1), 1)
         if last is not None:
-            yield out([last[1]], [last[2]], [last[0]], [-1], [-1], 2)
+            yield out([last[1]], [last[2]], [last[0]], [0], [0], [-1], [-1], 2)
 
-    return ordered.select("doc_id", "pos", "key").mapInArrow(run, "doc_id long, pos int, key long, other long, other_pos int, kind int")
+    return ordered.select("doc_id", "pos", "key", "left", "more").mapInArrow(run, "doc_id long, pos int, key long, left long, more long, other long, other_pos int, kind int")
 
 
 def _extend(pairs: DataFrame, block: int) -> DataFrame:
@@ -169,12 +187,27 @@ def _extend(pairs: DataFrame, block: int) -> DataFrame:
     return pairs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 34, window: int = 16) -> DataFrame:
+def _hits(spark, suffixes: DataFrame, folder: str, name: str, ascending: bool) -> DataFrame:
+    """Suffixes with a neighbour, and that neighbour: the nearest before in the given direction of the order, else the one after."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) if ascending else F.col(c).desc() for c in ("key", "left", "more", "doc_id", "pos")]
+    near = materialise(spark, _neighbours(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)), folder, name)
+    # runs that a partition's edge cut: at most two edge rows a partition
+    edges = near.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi"))
+    partner = F.when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo")).when(F.col("hi.doc_id") != F.col("doc_id"), F.col("hi"))
+    columns = ["doc_id", "pos", "key", "left", "more"]
+    loose = near.where("kind = 1").join(edges, "key").select(*columns, partner.alias("o")).where("o is not null")
+    return near.where("kind = 0").select(*columns, "other", "other_pos").union(loose.select(*columns, "o.doc_id", "o.pos"))
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, window: int = 20) -> DataFrame:
     """doc_id, start, end (code points), n_words, other_doc_id: the stretches of each document whose words stand, ``block`` in a row
     or more, in other documents too, joined where they meet, and at least ``least_words`` long.
 
-    Words are runs between ASCII white space, A-Z lower-cased. Any passage of least_words shared by two documents is found,
-    as least_words >= block + window - 1 + ... its first minimiser lies within ``window`` words of its start and leaves a whole block.
+    Words are runs between ASCII white space, A-Z lower-cased. The first minimiser of a shared passage of least_words lies within
+    ``window`` words of its start and leaves a whole block, so each such passage gives a match; matches are extended along
+    the neighbours on both sides of each suffix, found in the order of the block, then of the words before it, then of those after.
+    Contexts are compared in word pairs, so a stretch may lack a word at an end that only a third document shares.
     Repeats inside one document alone don't count. Null or short texts give no rows; rows with a null doc_id are left out;
     rows that share a doc_id count as one document. Empty input: no rows.
     """
@@ -185,13 +218,10 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 34, w
     folder = shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     suffixes = materialise(spark, _suffixes(docs, block, window), folder, "suffixes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartitionByRange(n, "key", "more", "doc_id", "pos").sortWithinPartitions("key", "more", "doc_id", "pos")
-    near = materialise(spark, _neighbours(ordered), folder, "near")
-    # runs that a partition's edge cut: at most two edge rows a partition
-    edges = near.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi"))
-    loose = near.where("kind = 1").join(edges, "key").select("doc_id", "pos", F.when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo")).when(F.col("hi.doc_id") != F.col("doc_id"), F.col("hi")).alias("o"))
-    hits = near.where("kind = 0").select("doc_id", "pos", "other", "other_pos").union(loose.where("o is not null").select("doc_id", "pos", "o.doc_id", "o.pos"))
+    ahead = materialise(spark, _hits(spark, suffixes, folder, "near", True), folder, "ahead")
+    discard(spark, folder, "suffixes", "near")
+    back = _hits(spark, ahead.select("doc_id", "pos", "key", "left", "more"), folder, "near-back", False)
+    hits = ahead.select("doc_id", "pos", "other", "other_pos").union(back.select("doc_id", "pos", "other", "other_pos"))
     diagonals = materialise(spark, hits.select("doc_id", "other", (F.col("other_pos") - F.col("pos")).alias("diag")).distinct(), folder, "diagonals")
     bits = bloom(diagonals.select("doc_id").union(diagonals.select("other")), "doc_id")
     texts = materialise(spark, bloom_filter(docs.where("doc_id is not null"), bits, "doc_id"), folder, "texts")
