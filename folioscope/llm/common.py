@@ -59,24 +59,28 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, columns: list[str], max_rows: int, max_bytes: int) -> list:
-    """At most ``max_rows`` rows and ``max_bytes`` of text, in the order of a hash of doc_id.
+def bounded_sample(docs: DataFrame, columns: list[str], max_rows: int, max_bytes: int, marks: DataFrame | None = None) -> list:
+    """At most ``max_rows`` rows and ``max_bytes`` of text, in the order of a hash of doc_id; with ``marks`` (doc_id and further
+    columns) only documents that have a mark.
 
-    Two passes: ids and lengths first, then the texts of the chosen ids (a set bounded by ``max_rows``).
+    Two passes: ids and lengths first (no text is shuffled), then the texts of the chosen ids, a set bounded by ``max_rows``.
     """
-    order = F.xxhash64("doc_id", F.lit(11))
-    head = df.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("b"), order.alias("o"))
+    head = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("b"))
+    if marks is not None:
+        head = head.join(marks.select("doc_id"), "doc_id")
     ids, total = [], 0
-    for r in head.orderBy("o", "doc_id", "b").limit(max_rows).collect():
+    for r in head.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "b").limit(max_rows).collect():
         total += r.b
         if total > max_bytes and ids:
             break
         ids.append((r.doc_id,))
     if not ids:
         return []
-    chosen = df.sparkSession.createDataFrame(list(dict.fromkeys(ids)), "doc_id long")
-    rows = df.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("text").isNotNull()).select("doc_id", *columns).collect()
-    return sorted(rows, key=lambda r: (r.doc_id, str(r)))[: max_rows]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(list(dict.fromkeys(ids)), "doc_id long"))
+    texts = docs.join(chosen, "doc_id", "left_semi").where(F.col("text").isNotNull())
+    if marks is not None:
+        texts = texts.join(F.broadcast(marks.join(chosen, "doc_id", "left_semi")), "doc_id")
+    return sorted(texts.select("doc_id", *columns).collect(), key=lambda r: (r.doc_id, str(r)))[:max_rows]
 
 
 # ---------------------------------------------------------------- vectorised hashing of words

@@ -190,7 +190,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     return (
         sig.select("doc_id", "n", "x", "y").join(reps, ["n", "x", "y"], "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
     )
 
 

@@ -91,7 +91,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows:
     """Fit on at most ``max_rows`` rated documents and ``max_bytes`` of text, in the order of a hash of doc_id. None without any.
     Of several ratings of one document the largest counts; null ratings are left out."""
     marks = ratings.where(F.col(grade).isNotNull()).groupBy("doc_id").agg(F.max(grade).alias("grade"))
-    rows = bounded_sample(docs.select("doc_id", "text").join(marks, "doc_id"), ["text", "grade"], max_rows, max_bytes)
+    rows = bounded_sample(docs.select("doc_id", "text"), ["text", "grade"], max_rows, max_bytes, marks)
     return fit([(r.text, r.grade) for r in rows]) if rows else None
 
 

@@ -73,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes:
     """Fit on at most ``max_rows`` labelled documents and ``max_bytes`` of text, in the order of a hash of doc_id. None without any.
     Labels other than 0 and 1 are left out; of several labels of one document the largest counts."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = bounded_sample(docs.select("doc_id", "text").join(marks, "doc_id"), ["text", "toxic"], max_rows, max_bytes)
+    rows = bounded_sample(docs.select("doc_id", "text"), ["text", "toxic"], max_rows, max_bytes, marks)
     return fit([(r.text, r.toxic) for r in rows]) if rows else None
 
 
