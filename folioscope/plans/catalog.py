@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout_queries, segment_queries, stream_queries, text_queries
+from . import layout_queries, more_queries, segment_queries, stream_queries, text_queries
 
-ALL = text_queries.QUERIES | segment_queries.QUERIES | layout_queries.QUERIES | stream_queries.QUERIES
+ALL = text_queries.QUERIES | segment_queries.QUERIES | layout_queries.QUERIES | stream_queries.QUERIES | more_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
