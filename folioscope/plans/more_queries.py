@@ -157,7 +157,7 @@ def keyword_stretches(spark, d):
 def glossary_excerpt(spark, d):
     """Each document's lines joined until 300 characters are reached, then cut."""
     w = Window.partitionBy("doc_id").orderBy("ord")
-    s = _seg(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before < 300")
+    s = _seg(spark, d).withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before <= 300")
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("l"))
     return g.select("doc_id", F.substring(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), 1, 300).alias("excerpt"))
 
