@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ HUNDREDS = {"hundred": 100, "cent": 100, "hundert": 100, "cien": 100}
 THOUSANDS = {"thousand": 1000, "mille": 1000, "tausend": 1000, "mil": 1000}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for each row and use it several times: a lambda's variable is never computed anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_markers(t: Column) -> Column:
     """without ``<n>`` and ``</n>``."""
     return F.regexp_replace(t, "</?[0-9]+>", "")
@@ -54,18 +61,25 @@ def ordinary_words(t: Column) -> Column:
 
 def identical(a: Column, b: Column) -> Column:
     """F5."""
-    return (normalised(a) != "") & (normalised(a) == normalised(b))
+    return let(F.struct(normalised(a).alias("a"), normalised(b).alias("b")), lambda n: (n["a"] != "") & (n["a"] == n["b"]))
+
+
+def _words_of_both(a: Column, b: Column) -> Column:
+    return F.struct(ordinary_words(a).alias("a"), F.array_distinct(ordinary_words(b)).alias("b"))
+
+
+def _share(w: Column) -> Column:
+    return let(F.array_distinct(w["a"]), lambda x: F.when(F.size(x) == 0, 0.0).otherwise(F.size(F.array_intersect(x, w["b"])) / F.size(x)))
 
 
 def shared_share(a: Column, b: Column) -> Column:
     """Share of a's distinct ordinary words that b has."""
-    x = F.array_distinct(ordinary_words(a))
-    return F.when(F.size(x) == 0, 0.0).otherwise(F.size(F.array_intersect(x, F.array_distinct(ordinary_words(b)))) / F.size(x))
+    return let(_words_of_both(a, b), _share)
 
 
 def is_copy(a: Column, b: Column) -> Column:
     """four ordinary words at least, and identical or more than half of them shared."""
-    return (F.size(ordinary_words(a)) >= 4) & (identical(a, b) | (shared_share(a, b) > 0.5))
+    return let(_words_of_both(a, b), lambda w: (F.size(w["a"]) >= 4) & ((_share(w) > 0.5) | identical(a, b)))
 
 
 def digit_groups(t: Column) -> Column:
@@ -105,8 +119,8 @@ def spelled_numbers(words: Column) -> Column:
 
 def drops_numbers(source: Column, target: Column) -> Column:
     """Some digit group stands in the target less often than in the source."""
-    s, t = digit_groups(source), digit_groups(target)
-    return F.exists(F.array_distinct(s), lambda g: F.size(F.filter(s, lambda x: x == g)) > F.size(F.filter(t, lambda x: x == g)))
+    both = F.struct(digit_groups(source).alias("s"), digit_groups(target).alias("t"))
+    return let(both, lambda d: F.exists(F.array_distinct(d["s"]), lambda g: F.size(F.filter(d["s"], lambda x: x == g)) > F.size(F.filter(d["t"], lambda x: x == g))))
 
 
 def function_word_hits(t: Column, lang: str) -> Column:
@@ -122,8 +136,8 @@ def scripts(w: Column) -> Column:
 
 def garbled_words(source: Column, target: Column) -> Column:
     """words of the target that mix scripts, one of them absent from the source."""
-    own = scripts(source)
-    return F.filter(F.split(target, SPACE), lambda w: (F.size(scripts(w)) >= 2) & (F.size(F.array_except(scripts(w), own)) > 0))
+    mixed = F.filter(F.split(target, SPACE), lambda w: F.size(scripts(w)) >= 2)
+    return let(F.struct(mixed.alias("w"), scripts(source).alias("own")), lambda m: F.filter(m["w"], lambda w: F.size(F.array_except(scripts(w), m["own"])) > 0))
 
 
 def is_data_only(t: Column) -> Column:
