@@ -56,7 +56,7 @@ def fit(rows: list[tuple[str, int]], bits: int = 18, epochs: int = 4, rate: floa
     for t, _ in rows:
         words, tail = _words([t.encode("utf-8", "surrogatepass")])
         b, c = np.unique(np.concatenate(_buckets(words.h, tail, bits)), return_counts=True)
-        features.append((b, scale * c / max(1, len(words.h))))
+        features.append((b.astype(np.int32), (scale * c / max(1, len(words.h))).astype(np.float32)))
 
     def thresholds():
         return np.concatenate([[first], first + np.cumsum(np.exp(gaps))]) if k > 1 else np.empty(0)

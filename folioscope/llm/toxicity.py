@@ -37,7 +37,7 @@ def _grams(w: Words, bits: int):
 
 def _features(text: str, bits: int) -> np.ndarray:
     w = Words([text.encode("utf-8", "surrogatepass")], PUNCT)
-    return np.unique(np.concatenate([g for g, _ in _grams(w, bits)])).astype(np.int64) if len(w.h) else np.empty(0, np.int64)
+    return np.unique(np.concatenate([g for g, _ in _grams(w, bits)])).astype(np.int32) if len(w.h) else np.empty(0, np.int32)
 
 
 def _sigmoid(z):
