@@ -2,16 +2,16 @@
 
 Suffixes are kept at minimiser positions of the words, which depend on content alone, so equal passages keep equal
 suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it;
-neighbours in the order that share the block name a match. Matches on one diagonal of two documents are then
-extended left and right over the words themselves. Each suffix meets its two neighbours, so work is linear in a
-passage's copies.
+neighbours in the order that share the block name a match. Matches that meet in a document form a run, which is
+then extended left and right over the words of the neighbours at its ends. Each suffix meets its two neighbours and
+each run four at most, so work is linear in a passage's copies.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, bloom, bloom_filter, chunks, discard, materialise, rolling, shared_dir, ship
@@ -157,36 +157,52 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "pos", "key", "left", "more").mapInArrow(run, "doc_id long, pos int, key long, left long, more long, other long, other_pos int, kind int")
 
 
-def _extend(pairs: DataFrame, block: int) -> DataFrame:
-    """doc_id, spans: maximal runs of equal words of at least ``block`` on each diagonal, as word positions, with code points at both ends."""
+def _extend(pairs: DataFrame) -> DataFrame:
+    """Runs of matches (words w0 to w1 of a document) extended left and right along a diagonal for as long as the words are equal,
+    with code points at both ends. A side is extended only where the diagonal holds at that end of the run."""
+
+    def more(x: np.ndarray, y: np.ndarray) -> int:
+        n = min(len(x), len(y))
+        off = np.flatnonzero(x[:n] != y[:n])
+        return int(off[0]) if len(off) else n
 
     def run(batches):
         for batch in batches:
-            doc, other, diag = (batch.column(i).to_pylist() for i in range(3))
-            ta, tb = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            doc, other, diag, w0, w1 = (batch.column(i).to_pylist() for i in range(5))
+            ta, tb = batch.column(5).to_pylist(), batch.column(6).to_pylist()
             rows = []
-            last: tuple = (None, None)
+            text, b = None, None
             for i in range(len(doc)):
                 raw = (ta[i] or "").encode("utf-8", "surrogatepass")
                 a = Words([raw])
-                if last[0] is not tb[i] and last[0] != tb[i]:
-                    last = (tb[i], Words([(tb[i] or "").encode("utf-8", "surrogatepass")]).h)
-                b = last[1]
-                lo, hi = max(0, -diag[i]), min(len(a.h), len(b) - diag[i])
-                if hi - lo < block:
-                    continue
-                same = np.concatenate([[0], (a.h[lo:hi] == b[lo + diag[i] : hi + diag[i]]).astype(np.int8), [0]])
-                edge = np.diff(same)
-                for s, e in zip(np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo):
-                    if e - s >= block:
-                        c0 = len(raw[: a.start[s]].decode("utf-8", "surrogatepass"))
-                        c1 = c0 + len(raw[a.start[s] : a.end[e - 1]].decode("utf-8", "surrogatepass"))
-                        rows.append((doc[i], int(s), int(e), c0, c1, other[i]))
+                if text is None or text != tb[i]:
+                    text, b = tb[i], Words([(tb[i] or "").encode("utf-8", "surrogatepass")]).h
+                s, e, d = w0[i], w1[i], diag[i]
+                if not (0 <= s < e <= len(a.h)):
+                    continue  # a second text under the same doc_id
+                if 0 <= s + d < len(b) and a.h[s] == b[s + d]:
+                    s -= more(a.h[:s][::-1], b[: s + d][::-1])
+                if 0 < e + d <= len(b) and a.h[e - 1] == b[e - 1 + d]:
+                    e += more(a.h[e:], b[e + d :])
+                c0 = len(raw[: a.start[s]].decode("utf-8", "surrogatepass"))
+                c1 = c0 + len(raw[a.start[s] : a.end[e - 1]].decode("utf-8", "surrogatepass"))
+                rows.append((doc[i], s, e, c0, c1, other[i]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "w0", "w1", "c0", "c1", "other"])
 
     return pairs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long")
 
 
+def _runs(hits: DataFrame, block: int) -> DataFrame:
+    """doc_id, other, diag, w0, w1: the stretches that a document's matching blocks cover, each with the neighbours of its first and its
+    last match alone, so a stretch gives four rows at most however many matches it has."""
+    at = Window.partitionBy("doc_id").orderBy("pos", "other", "other_pos")
+    far = F.lag("pos").over(at)
+    marked = hits.withColumn("new", F.when(far + block >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "run")
+    ends = marked.withColumn("lo", F.min("pos").over(whole)).withColumn("hi", F.max("pos").over(whole)).where("pos = lo or pos = hi")
+    return ends.select("doc_id", "other", (F.col("other_pos") - F.col("pos")).alias("diag"), F.col("lo").alias("w0"), (F.col("hi") + block).alias("w1")).distinct()
+
+
 def _hits(spark, suffixes: DataFrame, folder: str, name: str, ascending: bool) -> DataFrame:
     """Suffixes with a neighbour, and that neighbour: the nearest before in the given direction of the order, else the one after."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -222,14 +238,12 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     discard(spark, folder, "suffixes", "near")
     back = _hits(spark, ahead.select("doc_id", "pos", "key", "left", "more"), folder, "near-back", False)
     hits = ahead.select("doc_id", "pos", "other", "other_pos").union(back.select("doc_id", "pos", "other", "other_pos"))
-    diagonals = materialise(spark, hits.select("doc_id", "other", (F.col("other_pos") - F.col("pos")).alias("diag")).distinct(), folder, "diagonals")
-    bits = bloom(diagonals.select("doc_id").union(diagonals.select("other")), "doc_id")
+    runs = materialise(spark, _runs(hits, block), folder, "runs")
+    bits = bloom(runs.select("doc_id").union(runs.select("other")), "doc_id")
     texts = materialise(spark, bloom_filter(docs.where("doc_id is not null"), bits, "doc_id"), folder, "texts")
-    pairs = diagonals.join(texts.withColumnRenamed("text", "ta"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
-    spans = _extend(pairs.select("doc_id", "other", "diag", "ta", "tb"), block)
+    pairs = runs.join(texts.withColumnRenamed("text", "ta"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
+    spans = _extend(pairs.select("doc_id", "other", "diag", "w0", "w1", "ta", "tb"))
     # join what meets, inside each document; a document's spans are few, and copies of a passage are in different documents
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("w0", F.desc("w1"), "other")
     reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.distinct().withColumn("new", F.when(reach >= F.col("w0"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
