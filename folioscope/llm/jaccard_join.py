@@ -147,9 +147,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     reps = materialise(spark, sig.where("n > 0 and doc_id is not null").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")), folder, "reps")
     own = sig.where("n > 0").select("doc_id", "n", "x", "y", "lead").join(reps, ["n", "x", "y"]).where("doc_id = rep").dropDuplicates(["rep", "x", "y"])
     rows = own.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("lead").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("rep", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the leader of a token is the set in which the fewest rarer tokens stand before it, the one most like what the others were copied from
+    by_token = Window.partitionBy("token").orderBy("pos", "rep")
     shared = (
-        rows.select("rep", "n", "pos", "token", F.min("rep").over(by_token).alias("lead"), F.lead("rep").over(Window.partitionBy("token").orderBy("rep", "n")).alias("more"))
+        rows.select("rep", "n", "pos", "token", F.first("rep").over(by_token).alias("lead"), F.lead("rep").over(by_token).alias("more"))
         .where("lead <> rep or more <> rep").select("token", "rep", "n", "pos", "lead")
     )
     postings = materialise(spark, shared, folder, "postings")
@@ -181,9 +182,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
     asked = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
     opened = met.where((F.col("found") >= 1 + F.floor(F.col("n") * percent * 2 / 10000)) & (F.least(F.col("n") - F.col("pos"), F.col("room")) >= asked))
-    opened = materialise(spark, opened.select("rep", "n", "group"), folder, "opened")
-    members = held.select(F.col("rep").alias("member"), F.col("n").alias("m"), "group").distinct()
-    pairs = opened.join(members, "group").where((F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)).select(F.col("rep").alias("a"), F.col("member").alias("b"))
+    opened = materialise(spark, opened.select("rep", "n", "pos", "group"), folder, "opened")
+    members = held.groupBy(F.col("rep").alias("member"), F.col("n").alias("m"), "group").agg(F.min("pos").alias("at"))
+    # what stands before the first shared token on either side is missing from the other: that much of the union is not shared
+    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    pairs = opened.join(members, "group").where(
+        (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent) & (most * (100 - percent) >= (F.col("pos") + F.col("at")) * percent)
+    ).select(F.col("rep").alias("a"), F.col("member").alias("b"))
     more_links = materialise(spark, _verified(pairs, texts, words, percent), folder, "more-links")
     labels = connected_components(spark, star_links.union(more_links), folder, "labels")
     discard(spark, folder, "postings", "texts", "held", "opened", "stars")
