@@ -3,8 +3,9 @@
 Suffixes are kept at minimiser positions of the words, which depend on content alone, so equal passages keep equal
 suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it;
 neighbours in the order that share the block name a match. Matches that meet in a document form a run, which is
-then extended left and right over the words of the neighbours at its ends. Each suffix meets its two neighbours and
-each run four at most, so work is linear in a passage's copies.
+then extended left and right over the words of the neighbours at its ends. What passes an end of the extended run may be
+shared with a document that is no neighbour, so the whole windows of words that pass it are compared by hash. Each suffix
+meets its two neighbours, each run four at most and a few dozen windows, so work is linear in a passage's copies.
 """
 
 from __future__ import annotations
@@ -157,9 +158,14 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "pos", "key", "left", "more").mapInArrow(run, "doc_id long, pos int, key long, left long, more long, other long, other_pos int, kind int")
 
 
-def _extend(pairs: DataFrame) -> DataFrame:
+def _extend(pairs: DataFrame, least: int, block: int, window: int) -> DataFrame:
     """Runs of matches (words w0 to w1 of a document) extended left and right along a diagonal for as long as the words are equal,
-    with code points at both ends. A side is extended only where the diagonal holds at that end of the run."""
+    with code points at both ends. A side is extended only where the diagonal holds at that end of the run.
+
+    Rows with a hash are the windows of ``least`` words that keep a block of the run and pass an extended end: they count only
+    if another document has the same. A shared window keeps its first minimiser, so it starts at most ``window`` - 1 words before
+    the run and ``block`` before its end.
+    """
 
     def more(x: np.ndarray, y: np.ndarray) -> int:
         n = min(len(x), len(y))
@@ -170,7 +176,7 @@ def _extend(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             doc, other, diag, w0, w1 = (batch.column(i).to_pylist() for i in range(5))
             ta, tb = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            rows = []
+            rows, passing = [], []
             text, b = None, None
             for i in range(len(doc)):
                 raw = (ta[i] or "").encode("utf-8", "surrogatepass")
@@ -180,16 +186,46 @@ def _extend(pairs: DataFrame) -> DataFrame:
                 s, e, d = w0[i], w1[i], diag[i]
                 if not (0 <= s < e <= len(a.h)):
                     continue  # a second text under the same doc_id
+                first, last = max(0, s - window + 1), min(e - block, len(a.h) - least)
+                ends = []
                 if 0 <= s + d < len(b) and a.h[s] == b[s + d]:
                     s -= more(a.h[:s][::-1], b[: s + d][::-1])
+                    ends.append((first, min(s - 1, last)))
                 if 0 < e + d <= len(b) and a.h[e - 1] == b[e - 1 + d]:
                     e += more(a.h[e:], b[e + d :])
+                    ends.append((max(first, e - least + 1), last))
+                for u, v in ends:
+                    if u <= v:
+                        passing.append(_windows(doc[i], raw, a, u, v, least))
                 c0 = len(raw[: a.start[s]].decode("utf-8", "surrogatepass"))
                 c1 = c0 + len(raw[a.start[s] : a.end[e - 1]].decode("utf-8", "surrogatepass"))
                 rows.append((doc[i], s, e, c0, c1, other[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "w0", "w1", "c0", "c1", "other"])
+            names = ["doc_id", "w0", "w1", "c0", "c1", "other", "hash"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)), pa.nulls(len(rows), pa.int64())], names)
+            if passing:
+                doc_id, w0, c0, c1, h = (np.concatenate(c) for c in zip(*passing))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(w0), pa.array(w0 + least), pa.array(c0), pa.array(c1), pa.nulls(len(w0), pa.int64()), pa.array(h)], names)
+
+    return pairs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long, hash long")
+
+
+def _windows(doc: int, raw: bytes, words: Words, u: int, v: int, least: int) -> tuple[np.ndarray, ...]:
+    """doc_id, first word, code points at both ends and hash of the windows of ``least`` words that start at words u to v."""
+    n, low = v - u + 1, int(words.start[u])
+    lead = (np.frombuffer(raw, np.uint8)[: int(words.end[v + least - 1])] & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(lead[low:])]) + np.count_nonzero(lead[:low])
+    start, end = np.asarray(words.start[u : v + 1]) - low, np.asarray(words.end[u + least - 1 : v + least]) - low
+    part = min(least, 48)  # rolling() takes 64 words at most
+    h = rolling(words.h[u : v + least], part)
+    steps = [*range(0, least - part, part), least - part]
+    hashes = rolling(np.stack([h[k : k + n] for k in steps], 1).ravel(), len(steps))[:: len(steps)] if len(steps) > 1 else h
+    return np.full(n, doc, np.int64), np.arange(u, v + 1), at[start], at[end], hashes.view(np.int64)
+
 
-    return pairs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long")
+def _shared(windows: DataFrame) -> DataFrame:
+    """The windows that stand in two documents, with the smallest other one."""
+    both = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return windows.drop("other").join(both, "hash").select("doc_id", "w0", "w1", "c0", "c1", F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
 
 
 def _runs(hits: DataFrame, block: int) -> DataFrame:
@@ -223,7 +259,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     Words are runs between ASCII white space, A-Z lower-cased. The first minimiser of a shared passage of least_words lies within
     ``window`` words of its start and leaves a whole block, so each such passage gives a match; matches are extended along
     the neighbours on both sides of each suffix, found in the order of the block, then of the words before it, then of those after.
-    Contexts are compared in word pairs, so a stretch may lack a word at an end that only a third document shares.
+    Windows of least_words that pass an extended end are looked up among those of all documents, so each such passage is found
+    whole, also where its block stands in many documents and its neighbours share less.
     Repeats inside one document alone don't count. Null or short texts give no rows; rows with a null doc_id are left out;
     rows that share a doc_id count as one document. Empty input: no rows.
     """
@@ -239,10 +276,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     back = _hits(spark, ahead.select("doc_id", "pos", "key", "left", "more"), folder, "near-back", False)
     hits = ahead.select("doc_id", "pos", "other", "other_pos").union(back.select("doc_id", "pos", "other", "other_pos"))
     runs = materialise(spark, _runs(hits, block), folder, "runs")
+    discard(spark, folder, "ahead", "near-back")
     bits = bloom(runs.select("doc_id").union(runs.select("other")), "doc_id")
     texts = materialise(spark, bloom_filter(docs.where("doc_id is not null"), bits, "doc_id"), folder, "texts")
     pairs = runs.join(texts.withColumnRenamed("text", "ta"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
-    spans = _extend(pairs.select("doc_id", "other", "diag", "w0", "w1", "ta", "tb"))
+    found = materialise(spark, _extend(pairs.select("doc_id", "other", "diag", "w0", "w1", "ta", "tb"), least_words, block, window), folder, "found")
+    discard(spark, folder, "runs", "texts")
+    spans = found.where("hash is null").drop("hash").union(_shared(found.where("hash is not null")))
     # join what meets, inside each document; a document's spans are few, and copies of a passage are in different documents
     order = Window.partitionBy("doc_id").orderBy("w0", F.desc("w1"), "other")
     reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))

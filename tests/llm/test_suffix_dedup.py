@@ -63,6 +63,32 @@ def test_passages_equal_brute_force(spark):
         assert any(d == x and a <= s and b >= e for d, a, b in want), (x, s, e)
 
 
+def test_passages_around_hot_blocks(spark):
+    """Blocks under 50 words stand in many documents; pairs of documents share more words before, after or on both sides."""
+    rng = random.Random(31)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for size in (30, 36, 45, 49):
+        for _ in range(6):
+            hot = fresh(size)
+            texts = [[*fresh(25), *hot, *fresh(25)] for _ in range(60)]
+            for before, after in ((0, 10), (10, 0), (0, 50 - size), (50 - size, 0), (10, 10), (12, 9)):
+                a, b = fresh(before), fresh(after)
+                texts += [[*fresh(20), *a, *hot, *b, *fresh(20)] for _ in range(2)]
+                texts += [[*fresh(20), *a, *hot, *fresh(25)] for _ in range(5)] + [[*fresh(25), *hot, *b, *fresh(20)] for _ in range(5)]
+            rows += texts
+    rng.shuffle(rows)
+    text = {d: "é🙂 " + " ".join(w) for d, w in enumerate(rows)}
+    docs = spark.createDataFrame([(d, t, 0, "") for d, t in text.items()], SCHEMA).repartition(3)
+    spans = set()
+    for r in repeated_passages(docs).collect():
+        k = len(text[r.doc_id][: r.start].split())
+        assert len(text[r.doc_id][r.start : r.end].split()) == r.n_words and r.other_doc_id != r.doc_id
+        spans.add((r.doc_id, k, k + r.n_words))
+    want = brute(list(text.items()), 50, 50)
+    assert want and not [(d, a, b) for d, a, b in want if not any(x == d and s <= a and e >= b for x, s, e in spans)]
+
+
 def test_empty(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).collect() == []
 
