@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .native import let, plain_words, positions
 
-#: 1: the word counts, 0: it is ignored.
-MASKS = ("11101101", "1100101011")
+#: 1: the word counts, 0: it is ignored. All ways to have four of five words in a row: were there three at most in each five of an
+#: item of m words, 3 * (m // 5) + min(m % 5, 3) would match, less than the share of 0.7 (and eight words) asks for any m from 8 on, and
+#: a run's score would be 3 at most. So each pair that the default rule accepts has a seed; of items under eight words all must match.
+MASKS = ("1111", "11101", "11011", "10111")
 BROADCAST_WORDS = 2_000_000
 
 
@@ -21,14 +23,14 @@ def _seed(h: Column, k: int, at: list[int]):
     return lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in at])
 
 
-def _seeds(words: Column) -> Column:
+def _seeds(words: Column, masks: tuple[str, ...]) -> Column:
     """All seed hashes of a word array, one mask after the other; each mask gives as many as there are words."""
 
     def of(h: Column) -> Column:
         parts = []
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(masks):
             at = [i for i, c in enumerate(mask) if c == "1"]
-            # a short text ends before the mask does: positions beyond the end count as nothing, one seed a position
+            # positions beyond the end count as nothing, one seed a position; such seeds meet none of the benchmark
             parts.append(F.transform(positions(F.size(h)), _seed(h, k, at)))
         return F.concat(*parts)
 
@@ -41,7 +43,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = 12, least
     Words are lower-cased runs of letters and digits of whole texts. Along a shift, ``overlap`` counts the aligned
     positions and ``matched`` the equal ones; ``score`` is the best run of aligned positions at +1 for an equal and -2 for a
     replaced word. A pair is kept when the score reaches ``least_score``, or when ``least_share`` of the item's words match and
-    these are ``least_words`` at least (all of an item with fewer). Of several shifts the best one is returned.
+    these are ``least_words`` at least (all of an item with fewer). Of several shifts the best one is returned. Each pair that the
+    default rule accepts is found; with a lower share or score, only pairs with four equal words of five in a row, or the whole item.
 
     Null and empty texts overlap with nothing; items without words are ignored; a null doc_id or item_id is never returned.
     Rows that share a doc_id are compared each for itself and reported once. Either table may be empty.
@@ -51,15 +54,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = 12, least
         benchmark.select("item_id", plain_words(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0").distinct()
         .withColumn("m", F.size("words"))
     )
+    total, short = items.agg(F.coalesce(F.sum("m"), F.lit(0)), F.sort_array(F.collect_set(F.when(F.col("m") < len(MASKS[0]), F.col("m"))))).first()
+    # items too short for a mask are seeds of their own length, whole
+    masks = MASKS + tuple("1" * m for m in short)
+    spans = F.array(*[F.lit(len(x)) for x in masks])
     index = (
-        items.select("item_id", "m", F.posexplode(_seeds(F.col("words"))).alias("p", "seed"))
-        .select("item_id", "seed", (F.col("p") % F.col("m")).alias("j"), F.least("m", F.lit(len(MASKS[0]))).alias("need"), "m").where("j + need <= m").select("item_id", "seed", "j").distinct()
+        items.select("item_id", "m", F.posexplode(_seeds(F.col("words"), masks)).alias("p", "seed"))
+        .select("item_id", "m", "seed", (F.col("p") % F.col("m")).alias("j"), F.get(spans, F.floor(F.col("p") / F.col("m")).cast("int")).alias("need"))
+        .where((F.col("j") + F.col("need") <= F.col("m")) & ((F.col("need") >= len(MASKS[0])) | (F.col("need") == F.col("m")))).select("item_id", "seed", "j").distinct()
     )
-    total = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     if total <= BROADCAST_WORDS:  # a checked size; a larger benchmark is joined by shuffle
         index = F.broadcast(index)
-    seeds = docs.select("doc_id", _seeds(plain_words(F.col("text"))).alias("s"))
-    seeds = seeds.select("doc_id", (F.size("s") / len(MASKS)).cast("int").alias("n"), F.posexplode("s").alias("p", "seed"))
+    seeds = docs.select("doc_id", _seeds(plain_words(F.col("text")), masks).alias("s"))
+    seeds = seeds.select("doc_id", (F.size("s") / len(masks)).cast("int").alias("n"), F.posexplode("s").alias("p", "seed"))
     hits = (
         seeds.join(index, "seed").select("doc_id", "item_id", ((F.col("p") % F.col("n")) - F.col("j")).alias("shift")).distinct()
         .groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))

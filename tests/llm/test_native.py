@@ -65,6 +65,38 @@ def test_overlaps_catch_substitutions_and_leave_clean_texts(spark):
     assert decontaminate.overlaps(d, b.limit(0)).collect() == [] and decontaminate.overlaps(d.limit(0), b).collect() == []
 
 
+def test_overlaps_find_all_that_the_rule_accepts(spark):
+    """Short items inside texts, and scattered replacements up to the rule's limit, against every shift of every pair."""
+    rng = random.Random(41)
+    voc = [f"v{i}" for i in range(3000)]
+    items = [(i, rng.choices(voc, k=1 + i % 40)) for i in range(120)]
+    docs = []
+    for d in range(360):
+        p = list(items[d % 120][1])
+        for k in rng.sample(range(len(p)), int(len(p) * (0, 0.2, 0.3)[d // 120])):
+            p[k] = "changed"
+        cut = rng.choice([0, 0, len(p) // 10])
+        docs.append((d, [*rng.choices(voc, k=rng.choice([0, 9, 40])), *p[cut:], *rng.choices(voc, k=rng.choice([0, 9]))]))
+
+    def accepted(item, words):
+        for shift in range(-len(item) + 1, len(words)):
+            same = [item[i] == words[i + shift] for i in range(len(item)) if 0 <= i + shift < len(words)]
+            run = score = 0
+            for eq in same:
+                run = max(0, run + (1 if eq else -2))
+                score = max(score, run)
+            if score >= 12 or (sum(same) * 10 >= len(item) * 7 and sum(same) >= min(len(item), 8)):
+                return True
+        return False
+
+    want = {(d, i) for d, w in docs for i, t in items if accepted(t, w)}
+    assert len({i for _, i in want if len(items[i][1]) < 8}) > 15
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = decontaminate.overlaps(spark.createDataFrame([(d, " ".join(w), "", 0) for d, w in docs], SCHEMA), b)
+    native(got)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_fingerprints_follow_the_definition(spark):
     rng = random.Random(3)
     voc = [f"w{i}é" for i in range(900)]
