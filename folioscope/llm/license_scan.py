@@ -1,7 +1,7 @@
 """License scans by sentence rules, on built-in expressions only.
 
-Each text is cut into sentences; normalised sentences that are known get an identifier, and the sequence of
-identifiers is matched against ordered rules. A rule names the identifiers that stand in a row; a rule whose
+Each text is cut at line breaks and sentence ends; normalised sentences that are known get an identifier, also where a
+line break, a comment leader or a colon stands inside, but not across a blank line. The sequence of identifiers is matched against ordered rules. A rule names the identifiers that stand in a row; a rule whose
 sequence is part of an earlier matching rule's is taken to be explained by it.
 """
 
@@ -81,6 +81,12 @@ RULES = (
 )
 
 
+#: Marks of a blank line and of other line breaks and sentence ends.
+BLANK, CUT = "\x01", "\x02"
+#: Each known sentence has one of these; other texts are not normalised.
+TELLING = "licen[sc]|permi|copyright|reserved|public|warranty|redistrib|obtain|compliance|cc0|cc by"
+
+
 def _known() -> dict[str, str]:
     return {s: k for k, all_of in SENTENCES.items() for s in all_of}
 
@@ -92,10 +98,14 @@ def _pattern(ids: tuple[str, ...]) -> str:
 def _identifiers(text: Column) -> Column:
     """Identifiers of the known sentences in their order."""
     known = _known()
-    lines = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    plain = F.transform(F.filter(lines, lambda s: F.length(s).between(8, 600) & s.rlike("licen[sc]|permi|copyright|reserved|public domain|warranty|redistrib|obtain a copy|except in compliance")), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), BLANK + CUT, "  ")
+    cut = F.regexp_replace(F.regexp_replace(low, r"\n(?=[^\p{L}\p{N}\n]*\n)", BLANK), r"[.!?;:][ \t]+|\n", CUT)
+    plain = F.regexp_replace(F.regexp_replace(F.concat(F.lit(CUT), cut, F.lit(CUT)), f"([{BLANK}{CUT}])", " $1 "), f"[^a-z0-9{BLANK}{CUT}]+", " ")
+    sentence = "|".join(s.replace(" ", f"(?: {CUT})* ") for s in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(f"(?<=[{BLANK}{CUT}] )(?:{sentence})(?= [{BLANK}{CUT}])"), F.lit(0))
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
-    return F.transform(F.filter(plain, lambda s: s.isin(*known)), lambda s: F.element_at(table, s))
+    ids = F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, f"[ {CUT}]+", " ")))
+    return F.when(low.rlike(TELLING), ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

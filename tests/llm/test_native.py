@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 
 import duckdb
 from pyspark.sql import functions as F
@@ -36,6 +38,26 @@ def test_license_rules(spark):
     assert license_scan.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_license_sentences_over_lines(spark):
+    s = license_scan.SENTENCES
+    wrap = lambda lead, *keys: "\n".join(lead + x for k in keys for x in [*textwrap.wrap(s[k][0].capitalize() + ".", 72), ""])
+    mit, gpl = ("mit-grant", "mit-condition", "as-is"), ("gpl-free", "gpl-hope")
+    grant = s["mit-grant"][0]
+    texts = [
+        wrap("", *mit), wrap(" * ", *mit), wrap("// ", *gpl).replace("software you", "software: you"), wrap("# ", "bsd-grant").replace("\n", "\r\n"),
+        grant.replace(" ", "  ,  ") + "\n" + s["mit-condition"][0],  # over 600 characters
+        "Intro\nof a text. " + wrap("", *gpl), "The MIT License (MIT)\nCopyright (c) 2020 A\n\n" + wrap("", *mit),
+        wrap("", "gpl-free").replace("\n", "\n\n"), "not " + wrap("", "gpl-free"), "\n" * 50000 + wrap("", "bsd-grant"),
+    ]
+    df = license_scan.scan(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA))
+    native(df)
+    got = {r.doc_id: r.sentence_ids for r in df.collect()}
+    title = "mit-title," + ",".join(mit)
+    want = [",".join(mit), ",".join(mit), ",".join(gpl), "bsd-grant", ",".join(mit[:2]), ",".join(gpl), title, "", "", "bsd-grant"]
+    assert got == dict(enumerate(want))
+    assert all(re.search(license_scan.TELLING, x) for v in s.values() for x in v)
+
+
 def test_overlaps_catch_substitutions_and_leave_clean_texts(spark):
     rng = random.Random(12)
     voc = [f"v{i}" for i in range(500)]
