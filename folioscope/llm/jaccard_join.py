@@ -200,6 +200,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
 
 
 def drop_near_copies(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """The document with the smallest doc_id of each component, all its columns; of equal rows one. Rows without doc_id stay."""
+    """The document with the smallest doc_id of each component, all its columns. Rows without doc_id stay.
+
+    Rows that share a doc_id stay or go together: of those with equal text one stays, those with different texts stay all.
+    """
     parts = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return docs.join(parts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -75,3 +75,10 @@ def test_needed_shared_tokens_bound():
     for n in range(1, 400):
         for m in range(-(-85 * n // 100), n + 1):
             assert min(needed(n, 85), needed(m, 85)) >= 1 + n * 85 * 2 // 10000 - 0 or needed(m, 85) >= 1 + n * 85 * 2 // 10000
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, c), (None, a), (None, a)]
+    kept = drop_near_copies(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, a), (1, b), (3, c), (0, a), (0, a)])
