@@ -9,7 +9,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -30,11 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the cluster's shared checkpoint folder (its own only where none is named, as in tests)."""
+    """A fresh path in the cluster's shared checkpoint folder. Its own folder only where none is named and all tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="folioscope-shared-")
+        base = set_dir.get() if set_dir.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folioscope-shared-")
     return f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
 
 
@@ -53,34 +57,66 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id: Column | str) -> Column:
     """The rows no model learns from: crc32 of the id's decimal text leaves 1 when divided by 3."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(docs: DataFrame, columns: list[str], max_rows: int, max_bytes: int, marks: DataFrame | None = None) -> list:
+def bounded_sample(docs: DataFrame, columns: list[str], max_rows: int, max_bytes: int, marks: DataFrame | None = None, by: str | None = None) -> list:
     """At most ``max_rows`` rows and ``max_bytes`` of text, in the order of a hash of doc_id; with ``marks`` (doc_id and further
-    columns) only documents that have a mark.
+    columns) only documents that have a mark; with ``by`` each value of that column has an equal share of ``max_rows`` first.
 
-    Two passes: ids and lengths first (no text is shuffled), then the texts of the chosen ids, a set bounded by ``max_rows``.
+    Two passes: ids, lengths and hashes first (no text is shuffled), then the texts of the chosen ones, a set bounded by ``max_rows``:
+    rows that share a doc_id are told apart by their texts, and of equal ones a task sends one. A text that does not fit is passed over.
     """
-    head = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("b"))
+    keys = ["doc_id", "b_", "h_"]
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("doc_id", *dict.fromkeys(["text", *[c for c in [*columns, by] if c in docs.columns]]), F.octet_length("text").alias("b_"), F.xxhash64("text").alias("h_"))
+    head = rows.select(*keys, *([F.col(by).alias("by_")] if by else []))
     if marks is not None:
-        head = head.join(marks.select("doc_id"), "doc_id")
-    ids, total = [], 0
-    for r in head.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "b").limit(max_rows).collect():
-        total += r.b
-        if total > max_bytes and ids:
-            break
-        ids.append((r.doc_id,))
-    if not ids:
+        head = head.join(marks.select("doc_id").distinct(), "doc_id")
+    order = [F.xxhash64("doc_id", F.lit(11)), "doc_id", "b_", "h_"]
+    if by:
+        several = max(1, head.agg(F.approx_count_distinct("by_")).first()[0])
+        share = F.row_number().over(Window.partitionBy("by_").orderBy(*order))
+        head = head.withColumn("k_", share).where(F.col("k_") <= -(-max_rows // several))
+    chosen, total = {}, 0
+    for r in head.orderBy(*order).limit(max_rows).collect():
+        if total + r.b_ <= max_bytes and tuple(r[:3]) not in chosen:
+            total += r.b_
+            chosen[tuple(r[:3])] = None
+    if not chosen:
         return []
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(list(dict.fromkeys(ids)), "doc_id long"))
-    texts = docs.join(chosen, "doc_id", "left_semi").where(F.col("text").isNotNull())
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(chosen), "doc_id long, b_ int, h_ long"))
+    texts = rows.join(wanted, keys, "left_semi")
     if marks is not None:
-        texts = texts.join(F.broadcast(marks.join(chosen, "doc_id", "left_semi")), "doc_id")
-    return sorted(texts.select("doc_id", *columns).collect(), key=lambda r: (r.doc_id, str(r)))[:max_rows]
+        texts = texts.join(F.broadcast(marks.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in marks.columns if c != "doc_id"])), "doc_id")
+    own = texts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns])
+    return sorted(own.select("doc_id", *columns).collect(), key=lambda r: (r.doc_id, str(r)))
+
+
+_HOLDS: dict[str, object] = {}
+
+
+def claim(owner: str, release=None) -> None:
+    """In a Python worker: let go of the tables that other operators' tasks have kept there; ``release`` is called when another one runs."""
+    for other in [k for k in _HOLDS if k != owner]:
+        _HOLDS.pop(other)()
+    if release is not None:
+        _HOLDS[owner] = release
 
 
 # ---------------------------------------------------------------- vectorised hashing of words
@@ -175,6 +211,15 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """As ``rolling``, at the same cost for any n."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    p, q = _powers(len(h) + 1)
+    c = np.concatenate([np.zeros(1, np.uint64), np.cumsum((h | np.uint64(1)) * p[: len(h)])])
+    return mix((c[n:] - c[:-n]) * q[: len(h) - n + 1])
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     if not len(h):
         return np.empty(0, np.uint64)
@@ -207,34 +252,61 @@ def connected_components(spark: SparkSession, edges: DataFrame, folder: str, nam
             return labels
 
 
-BLOOM_WORDS = 1 << 17
+#: 2**24 bits at least and 2**28 at most: 32 MB on the driver and in each worker, for up to 2**25 numbers at eight bits each.
+BLOOM_LEAST, BLOOM_MOST = 18, 22
 
 
-def bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A fixed 1 MB filter of the ids (false positives only cost work): 2**17 words of 64 bits at most reach the driver."""
-    h = F.xxhash64(column)
-    rows = (
-        ids.select(F.shiftrightunsigned(h, 47).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("bit"))
+def bits_of(numbers: DataFrame):
+    """A broadcast filter of the one (long) column of numbers, eight bits a number or more; None where they are more than 2**25."""
+    name = numbers.columns[0]
+    numbers = numbers.distinct()
+    count = numbers.agg(F.approx_count_distinct(name)).first()[0]
+    level = max(BLOOM_LEAST, int(np.ceil(np.log2(max(1, count) * 8 / 64))))
+    if level > BLOOM_MOST:
+        return None
+    h = F.xxhash64(name)
+    words = (
+        numbers.select(F.shiftrightunsigned(h, 64 - level).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64({name}) & 63 as int))").alias("bit"))
         .groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
     )
-    out = np.zeros(BLOOM_WORDS, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out
-
-
-def bloom_filter(df: DataFrame, bits: np.ndarray, column: str) -> DataFrame:
-    """Rows whose id may be in the filter; the test runs on Arrow batches before any shuffle."""
+    bits = np.zeros(1 << level, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return numbers.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bits(held, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers the filter may hold; all of them without a filter."""
+    if held is None:
+        return np.ones(len(numbers), bool)
+    words = held.value
+    h, low = _xxhash64(numbers.view(np.uint64)), np.uint64(63)
+    level = np.uint64(64 - (len(words).bit_length() - 1))
+    return ((words[(h >> level).astype(np.int64)].view(np.uint64) >> (h & low)) & np.uint64(1)).astype(bool)
+
+
+def _xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of one long column (seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    h = np.uint64((42 + int(p5) + 8) & 0xFFFFFFFFFFFFFFFF) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id is in the one column of ids, and maybe some others: a filter tests Arrow batches before any shuffle;
+    where the ids are too many for it, the rows meet them in a join."""
     import pyarrow as pa
 
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(bits)
-    source = df.select(*df.columns, F.xxhash64(column).alias("__h"))
+    held = bits_of(ids)
+    if held is None:
+        return df.join(ids.distinct().select(F.col(ids.columns[0]).alias("doc_id")), "doc_id", "left_semi").select(*df.columns)
+    at = df.columns.index("doc_id")
 
     def keep(batches):
-        words = held.value
         for batch in batches:
-            h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
-            ok = (words[(h >> np.uint64(47)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(ok.astype(bool))).select(list(range(batch.num_columns - 1)))
+            yield batch.filter(pa.array(in_bits(held, batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64))))
 
-    return source.mapInArrow(keep, df.schema)
+    return df.where("doc_id is not null").mapInArrow(keep, df.schema)

@@ -2,13 +2,17 @@
 
 Method. Equal shingle sets collapse to one representative (a sum with map-side combine, so a group of
 copies of any size costs one row a task). Every representative keeps the first tokens of its set under a
-global order that puts corpus-wide frequent tokens last. Representatives that share such tokens with the
-same leader form a *group*; a member belongs to it only if its exact similarity to the leader passes. The
-token-group matrix then holds one row for each (token, group) of the groups' token unions. A query document
-meets a group it is not in only through that matrix; the number of its tokens found in the union, and
-the tokens before the first of them, bound its overlap with every member; only groups whose bound reaches the
-least possible overlap are opened, their
-members filtered by size and compared exactly. No pairs are made within a group.
+global order that puts corpus-wide frequent tokens last. A *group* is a leader and the representatives that
+share such tokens with it and half of their union. The token-group matrix holds one row for each (token, group)
+of the groups' token unions. A query document meets a group it is not in only through that matrix; the number of
+its tokens found in the union, and the tokens before the first of them, bound its overlap with every member; only
+groups whose bound reaches the least possible overlap are opened.
+
+An opened group, and a document's own, is compared through its leader: each set in it is known by its difference
+from the leader's. Two differences a and b of sets that link share r = (|a| + |b| - c * (n + m)) / 2 tokens at
+least, where c = (1 - t) / (1 + t). Where r <= 0 both sets link to the leader, so nothing need be compared; all
+other pairs share one of the first |a| - r + 1 tokens of the differences, and what stands before a shared one bounds
+the rest. So neither copies nor the many unlike edits of one text are paired with each other.
 
 Why nothing is lost: with overlap of at least a = ceil(t*n) tokens, the first n - a + k tokens of both sets,
 under any common order, share at least k tokens. The order is a fixed function of the token, so it may rest
@@ -22,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, bloom_filter, chunks, connected_components, discard, materialise, mix, shared_dir, ship, shingle_set
+from .common import Words, chunks, claim, connected_components, discard, materialise, mix, rows_of, shared_dir, ship, shingle_set
 
 LEVELS = 1 << 20
-LOCAL_TOKENS = 4_000_000
+LOCAL_TOKENS = 1_000_000
+#: Least similarity to the leader, in percent, of the members of a group.
+HOME = 50
+SALTS = 32
 
 
 def _frequent(docs: DataFrame, words: int, least: int = 16) -> np.ndarray:
@@ -33,6 +40,7 @@ def _frequent(docs: DataFrame, words: int, least: int = 16) -> np.ndarray:
     Each task sends only tokens that repeat among its own documents."""
 
     def repeated(batches):
+        claim("jaccard_join")
         def flush(held):
             t, c = np.unique(np.concatenate(held), return_counts=True)
             many = c >= 2
@@ -62,6 +70,11 @@ def _frequent(docs: DataFrame, words: int, least: int = 16) -> np.ndarray:
     return out
 
 
+def _ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Tokens as numbers in the global order: the frequent ones last."""
+    return (levels[(tokens & np.uint64(LEVELS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (tokens >> np.uint64(9))
+
+
 def least_overlap(n, percent: int):
     """ceil(percent * n / 100)"""
     return -(-percent * n // 100)
@@ -76,6 +89,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
     """A row for each document: n, a 128-bit digest of the set, and the leading tokens under the global order."""
 
     def sign(batches):
+        claim("jaccard_join")
         table = levels.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -90,7 +104,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
                     y.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if m else 0)
                     keep = min(m, m - int(least_overlap(m, percent)) + int(needed(m, percent)))
                     if m:
-                        key = (table[(s & np.uint64(LEVELS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
+                        key = _ordered(s, table)
                         key = np.sort(np.partition(key, keep - 1)[:keep] if keep < m else key)
                         lead.append(key.view(np.int64))
                     else:
@@ -104,26 +118,67 @@ def _signatures(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, x long, y long, lead array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity passes. Texts travel to the pairs by two equi joins; a hot b is split by AQE."""
+def shared_at_least(n: int, m: int, d: int, linked: bool, percent: int) -> int:
+    """Of a set of n tokens whose difference from a leader's m tokens has d: how many of the d any set shares that links to it while one
+    of both does not link to the leader."""
+    if linked:
+        return max(1, -((-(100 + percent) * d + (100 - percent) * (n - m)) // (2 * (100 + percent))))
+    return max(1, -((-(100 + percent) * d + (100 - percent) * (n + m)) // 200))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int, levels=None) -> DataFrame:
+    """For each pair (a, b): n, whether it links, whether it shares HOME percent, and, with ``levels``, the size d of the difference of
+    both sets with the first of its tokens. Texts travel to the pairs by two equi joins; a hot b is split by AQE."""
 
     def compare(batches):
+        claim("jaccard_join")
         last, kept = None, None
+        table = levels.value if levels is not None else None
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = np.zeros(len(a), bool)
+            n, d, ok, half, lead = (np.zeros(len(a), t) for t in (np.int64, np.int64, bool, bool, np.int32))
+            tokens = []
             for i in range(len(a)):
                 if last is None or tb[i] != last:
                     last, kept = tb[i], shingle_set(Words([(tb[i] or "").encode("utf-8", "surrogatepass")]).h, words)
                 s = shingle_set(Words([(ta[i] or "").encode("utf-8", "surrogatepass")]).h, words)
-                if len(s) and len(kept):
-                    both = len(np.intersect1d(s, kept, assume_unique=True))
-                    ok[i] = 100 * both >= percent * (len(s) + len(kept) - both)
-            yield pa.record_batch({"a": pa.array(np.array(a, np.int64)[ok]), "b": pa.array(np.array(b, np.int64)[ok])})
+                if not len(s) or not len(kept):
+                    continue
+                both = np.intersect1d(s, kept, assume_unique=True)
+                union = len(s) + len(kept) - len(both)
+                n[i], d[i], ok[i], half[i] = len(s), union - len(both), 100 * len(both) >= percent * union, 100 * len(both) >= HOME * union
+                if table is not None:
+                    # what the leader lacks first, then what it alone has
+                    more, less = (np.setdiff1d(x, both, assume_unique=True) for x in (s, kept))
+                    key = np.sort(np.concatenate([_ordered(more, table) >> np.uint64(1), (_ordered(less, table) >> np.uint64(1)) | np.uint64(1 << 63)]))
+                    key = key[: max(0, int(d[i]) - shared_at_least(len(s), len(kept), int(d[i]), bool(ok[i]), percent) + 1)]
+                    tokens.append(key.view(np.int64))
+                    lead[i] = len(key)
+            sizes = np.concatenate([[0], np.cumsum(lead)]).astype(np.int32)
+            yield pa.record_batch([
+                pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n), pa.array(d), pa.array(ok), pa.array(half),
+                pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))),
+            ], ["a", "b", "n", "d", "linked", "half", "tokens"])
 
     near = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     far = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return far.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return far.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, n long, d long, linked boolean, half boolean, tokens array<long>")
+
+
+def _within(visits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in one group that may link and of which one does not link to the leader: home, a visitor or a member; b is a member.
+    ``visits``: a (set), b (the group's leader), n, d, linked, home, tokens."""
+    # groups with such a set; a group's members are many, so they meet its key in SALTS parts
+    busy = visits.where("not linked").select("b").distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = visits.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(busy, ["b", "s"], "left_semi").select("a", "b", "n", "d", "linked", "home", F.posexplode("tokens").alias("pos", "token"))
+    x, y = rows.alias("x"), rows.where("home").alias("y")
+    col = lambda k: F.col(k)
+    # tokens before the first shared one are in one difference alone
+    rest = F.least(col("x.d") - col("x.pos"), col("y.d") - col("y.pos"))
+    asked = (col("x.d") + col("y.d")) * (100 + percent) - (col("x.n") + col("y.n")) * (100 - percent)
+    apart = ~(col("x.linked") & col("y.linked")) & (~col("x.home") | (col("x.a") > col("y.a")))
+    met = x.join(y, (col("x.b") == col("y.b")) & (col("x.token") == col("y.token")) & apart & (rest * (2 * (100 + percent)) >= asked))
+    return met.select(col("x.a").alias("a"), col("y.a").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -162,19 +217,29 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     )
     stars = materialise(spark, stars, folder, "stars")
     wanted = postings.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") * 100 >= F.col("n")).select("rep")
-    bits = bloom(wanted.union(stars.select("b")), "rep")
-    texts = materialise(spark, bloom_filter(docs, bits, "doc_id"), folder, "texts")
-    star_links = materialise(spark, _verified(stars, texts, words, percent), folder, "star-links")
-    groups = connected_components(spark, star_links, folder, "groups")
-    # token-group matrix, and queries that meet groups other than their own
-    held = postings.join(groups.select(F.col("node").alias("rep"), F.col("label").alias("group")), "rep", "left").withColumn("group", F.coalesce("group", "rep")).select("token", "rep", "n", "pos", "group")
+    texts = materialise(spark, rows_of(docs, wanted.union(stars.select("b"))), folder, "texts")
+    compared = materialise(spark, _compared(stars, texts, words, percent, levels), folder, "compared")
+    star_links = compared.where("linked").select("a", "b")
+    # a leader is at home in its own group alone
+    leaders = compared.where("half").select(F.col("b").alias("a")).distinct()
+    members = materialise(spark, compared.where("half").join(leaders, "a", "left_anti"), folder, "members")
+    known = connected_components(spark, star_links, folder, "known")
+    # token-group matrix: the sets that link to a leader and those that don't are two groups of it; queries meet groups other than their own
+    held = (
+        postings.join(members.select(F.col("a").alias("rep"), F.col("b").alias("home"), F.col("linked").alias("near")), "rep", "left")
+        .join(known.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        .select("token", "rep", "n", "pos", F.coalesce("home", "rep").alias("group"), F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("label", "rep").alias("label"))
+    )
     several = held.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
     held = materialise(spark, held.join(several, "token", "left_semi"), folder, "held")
-    matrix = held.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("room"))
-    q = held.select("token", "rep", "n", "pos", F.col("group").alias("own"))
+    matrix = held.groupBy("token", "group", "near").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("room"), F.min("label").alias("l0"), F.max("label").alias("l1")
+    )
+    q = held.select("token", "rep", "n", "pos", "label", F.col("group").alias("own"))
     fits = (F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent)
-    # a pair is looked for from the side whose group is the larger id
-    met = q.join(matrix, "token").where((F.col("own") > F.col("group")) & fits).groupBy("rep", "n", "group").agg(
+    # a pair is looked for from the side whose group is the larger id, unless all that the group has of the token is known to be connected
+    other = (F.col("own") > F.col("group")) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label")))
+    met = q.join(matrix, "token").where(other & fits).groupBy("rep", "n", "group", "near").agg(
         F.count(F.lit(1)).alias("found"), F.min("pos").alias("pos"), F.max("room").alias("room"), F.min("least_n").alias("least_n")
     )
     # tokens before the first shared one are missing from every member, so at most n - pos are shared (and no more than ``room`` on
@@ -182,16 +247,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
     asked = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
     opened = met.where((F.col("found") >= 1 + F.floor(F.col("n") * percent * 2 / 10000)) & (F.least(F.col("n") - F.col("pos"), F.col("room")) >= asked))
-    opened = materialise(spark, opened.select("rep", "n", "pos", "group"), folder, "opened")
-    members = held.groupBy(F.col("rep").alias("member"), F.col("n").alias("m"), "group").agg(F.min("pos").alias("at"))
-    # what stands before the first shared token on either side is missing from the other: that much of the union is not shared
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    pairs = opened.join(members, "group").where(
-        (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent) & (most * (100 - percent) >= (F.col("pos") + F.col("at")) * percent)
-    ).select(F.col("rep").alias("a"), F.col("member").alias("b"))
-    more_links = materialise(spark, _verified(pairs, texts, words, percent), folder, "more-links")
-    labels = connected_components(spark, star_links.union(more_links), folder, "labels")
-    discard(spark, folder, "postings", "texts", "held", "opened", "stars")
+    opened = materialise(spark, opened.select(F.col("rep").alias("a"), F.col("group").alias("b")).distinct(), folder, "opened")
+    visits = materialise(spark, _compared(opened, texts, words, percent, levels).withColumn("home", F.lit(False)), folder, "visits")
+    inside = materialise(spark, _within(visits.unionByName(members.withColumn("home", F.lit(True))), percent), folder, "inside")
+    more_links = materialise(spark, _compared(inside, texts, words, percent).where("linked").select("a", "b"), folder, "more-links")
+    labels = connected_components(spark, star_links.union(visits.where("linked").select("a", "b")).union(more_links), folder, "labels")
+    discard(spark, folder, "postings", "texts", "held", "opened", "stars", "compared", "members", "visits", "inside", "more-links", "known")
     return (
         sig.select("doc_id", "n", "x", "y").join(reps, ["n", "x", "y"], "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, bloom_filter, chunks, discard, materialise, rolling, shared_dir, ship
+from .common import Words, chunks, discard, materialise, rolling, rows_of, shared_dir, ship
 
 KMER = 6
 
@@ -277,8 +277,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     hits = ahead.select("doc_id", "pos", "other", "other_pos").union(back.select("doc_id", "pos", "other", "other_pos"))
     runs = materialise(spark, _runs(hits, block), folder, "runs")
     discard(spark, folder, "ahead", "near-back")
-    bits = bloom(runs.select("doc_id").union(runs.select("other")), "doc_id")
-    texts = materialise(spark, bloom_filter(docs.where("doc_id is not null"), bits, "doc_id"), folder, "texts")
+    texts = materialise(spark, rows_of(docs, runs.select("doc_id").union(runs.select("other"))), folder, "texts")
     pairs = runs.join(texts.withColumnRenamed("text", "ta"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
     found = materialise(spark, _extend(pairs.select("doc_id", "other", "diag", "w0", "w1", "ta", "tb"), least_words, block, window), folder, "found")
     discard(spark, folder, "runs", "texts")

@@ -3,7 +3,7 @@
 import random
 import re
 
-from folioscope.llm.jaccard_join import drop_near_copies, jaccard_components, needed
+from folioscope.llm.jaccard_join import drop_near_copies, jaccard_components, needed, shared_at_least
 
 SCHEMA = "doc_id long, text string, label string, component_id int"
 
@@ -82,3 +82,38 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, a), (1, a), (1, b), (2, a), (3, c), (None, a), (None, a)]
     kept = drop_near_copies(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
     assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, a), (1, b), (3, c), (0, a), (0, a)])
+
+
+def test_families_with_many_unlike_edits(spark):
+    """Edits of one text below and above the limit, some of which share their edits: only these are compared, and no link is lost."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(420):
+        w = list(rows[rng.randrange(len(rows))][1].split() if i % 7 == 6 else base)
+        for _ in range(rng.choice([1, 2]) if i % 7 == 6 else rng.choice([1, 2, 3, 4, 6, 9, 12, 25])):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[f"x{rng.randrange(10**6)}"], [], ["plus", "one"]])
+        rows.append((i * 13 % 421, " ".join(w)))
+    docs = spark.createDataFrame([(d, t, "x", 5) for d, t in rows], SCHEMA).repartition(3)
+    for words, percent in ((4, 85), (5, 80)):
+        want = brute(rows, words, percent)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, words, percent).collect()) == want
+        assert 100 < len({c for _, _, c in want}) < 400
+
+
+def test_shared_difference_bound():
+    """Every linking pair of sets, one of which does not link to the leader, shares as much of its difference as the bound asks for."""
+    rng = random.Random(5)
+    for percent in (80, 85):
+        c = 0
+        for _ in range(30000):
+            leader = set(range(rng.randint(3, 60)))
+            a = set(rng.sample(range(70), rng.randint(1, 60))) if rng.random() < 0.2 else {x for x in leader if rng.random() < 0.9} | set(rng.sample(range(100, 120), rng.randint(0, 9)))
+            b = {x for x in a if rng.random() < 0.95} | {rng.randrange(130)}
+            links = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+            if a and links(a, b) and not (links(a, leader) and links(b, leader)):
+                both = len((a ^ leader) & (b ^ leader))
+                assert all(both >= shared_at_least(len(x), len(leader), len(x ^ leader), links(x, leader), percent) for x in (a, b))
+                c += 1
+        assert c > 1000
