@@ -1,11 +1,12 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept at minimiser positions of the words, which depend on content alone, so equal passages keep equal
-suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it;
-neighbours in the order that share the block name a match. Matches that meet in a document form a run, which is
-then extended left and right over the words of the neighbours at its ends. What passes an end of the extended run may be
-shared with a document that is no neighbour, so the whole windows of words that pass it are compared by hash. Each suffix
-meets its two neighbours, each run four at most and a few dozen windows, so work is linear in a passage's copies.
+suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it; a
+neighbour in the order that shares the block, but not the document, names a match. Matches that meet in a document
+form a run. The matches at both ends of a run are extended left and right along the neighbour's words, which proves a
+passage word by word. Windows of a run that no such passage holds are open: they may be shared with a document that is
+no neighbour. Their hashes are looked up among the windows of all documents. So each suffix meets one neighbour, each run
+two texts, and work is linear in a passage's copies.
 """
 
 from __future__ import annotations
@@ -15,25 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, discard, materialise, rolling, rows_of, shared_dir, ship
+from .common import Words, bits_of, chunks, claim, discard, in_bits, materialise, rolling, rows_of, run_hashes, shared_dir, ship
 
 KMER = 6
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest k-word hash of every ``window`` positions in a row; of equal ones the last. Where one word repeats,
-    only every ``window``-th position counts, from the start of the repeats on, so such stretches keep few suffixes too."""
+    """Positions of the smallest k-word hash of every ``window`` positions in a row; of equal ones the first. Where one word repeats,
+    only the first position and every ``window``-th counted back from the last one take part, so such stretches keep few suffixes."""
     k = rolling(h, KMER)
     if len(k) == 0:
         return np.empty(0, np.int64)
     at = np.arange(len(k))
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), at, 0))
-    k = np.where((at - start) % window == 0, k, np.uint64(0xFFFFFFFFFFFFFFFF))
+    other = k[1:] != k[:-1]
+    first = np.concatenate([[True], other])
+    last = np.minimum.accumulate(np.where(np.concatenate([other, [True]]), at, len(k))[::-1])[::-1]
+    k = np.where(first | ((last - at) % window == 0), k, np.uint64(0xFFFFFFFFFFFFFFFF))
     if len(k) <= window:
-        return np.array([len(k) - 1 - int(np.argmin(k[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(k, window)[:, ::-1]
-    at = np.arange(len(view)) + window - 1 - view.argmin(1)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+        return np.array([int(np.argmin(k))])
+    at = np.arange(len(k) - window + 1) + np.lib.stride_tricks.sliding_window_view(k, window).argmin(1)
+    return np.unique(at)
 
 
 def _codes(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> np.ndarray:
@@ -52,6 +54,7 @@ def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
     """doc_id, pos, key (hash of the first ``block`` words), and codes of what stands before (left) and after them (more)."""
 
     def run(batches):
+        claim("suffix_dedup")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1).to_pylist()):
@@ -73,7 +76,7 @@ def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
                 left, more = _codes(w.h, g, low, high, -1), _codes(w.h, g + block, low, high, 1)
                 yield pa.record_batch({"doc_id": pa.array(ids[at + d].astype(np.int64)), "pos": pa.array(p.astype(np.int32)), "key": pa.array(keys[g].view(np.int64)), "left": pa.array(left.view(np.int64)), "more": pa.array(more.view(np.int64))})
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pos int, key long, left long, more long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, key long, left long, more long")
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
@@ -84,26 +87,27 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        claim("suffix_dedup")
         held = None  # rows of the run's first document, waiting for a second one
         prev = None  # (key, doc, pos) of the last row, and the partner that its document has in this run
         partner = None
         first_key, last = None, None
-        names = ["doc_id", "pos", "key", "left", "more", "other", "other_pos", "kind"]
+        names = ["doc_id", "pos", "key", "other", "other_pos", "kind"]
 
-        def out(d, p, k, lf, mr, o, op, kind):
+        def out(d, p, k, o, op, kind):
             n = len(d)
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(p, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (k, lf, mr, o)), pa.array(np.asarray(op, np.int32)), pa.array(np.full(n, kind, np.int32))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(p, np.int32)), pa.array(np.asarray(k, np.int64)), pa.array(np.asarray(o, np.int64)), pa.array(np.asarray(op, np.int32)), pa.array(np.full(n, kind, np.int32))], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, p, k, lf, mr = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            d, p, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             n = len(d)
             new_key = np.concatenate([[prev is None or k[0] != prev[0]], k[1:] != k[:-1]])
             new_doc = new_key | np.concatenate([[prev is None or d[0] != prev[1]], d[1:] != d[:-1]])
             if first_key is None:
                 first_key = k[0]
-                yield out([d[0]], [p[0]], [k[0]], [0], [0], [-1], [-1], 2)
+                yield out([d[0]], [p[0]], [k[0]], [-1], [-1], 2)
             block = np.maximum.accumulate(np.where(new_doc, np.arange(n), -1))  # -1: the block goes on from the last batch
             before = block - 1
             o, op = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -138,14 +142,14 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
                         yield out(*held, np.full(len(held[0]), -1), np.full(len(held[0]), -1), 1)
                     held = None
             if found.any():
-                yield out(d[found], p[found], k[found], lf[found], mr[found], o[found], op[found], 0)
+                yield out(d[found], p[found], k[found], o[found], op[found], 0)
             left = np.flatnonzero(~found)
             tail = left[nxt[left] == n]
             gone = left[(nxt[left] < n) & (k[left] == first_key)]
             if len(gone):
-                yield out(d[gone], p[gone], k[gone], lf[gone], mr[gone], np.full(len(gone), -1), np.full(len(gone), -1), 1)
+                yield out(d[gone], p[gone], k[gone], np.full(len(gone), -1), np.full(len(gone), -1), 1)
             if len(tail):
-                keep = (d[tail], p[tail], k[tail], lf[tail], mr[tail])
+                keep = (d[tail], p[tail], k[tail])
                 held = keep if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, keep))
             partner = (o[-1], op[-1]) if found[-1] else None
             prev = (k[-1], d[-1], p[-1])
@@ -153,138 +157,154 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
         if held is not None:
             yield out(*held, np.full(len(held[0]), -1), np.full(len(held[0]), -1), 1)
         if last is not None:
-            yield out([last[1]], [last[2]], [last[0]], [0], [0], [-1], [-1], 2)
+            yield out([last[1]], [last[2]], [last[0]], [-1], [-1], 2)
 
-    return ordered.select("doc_id", "pos", "key", "left", "more").mapInArrow(run, "doc_id long, pos int, key long, left long, more long, other long, other_pos int, kind int")
+    return ordered.select("doc_id", "pos", "key").mapInArrow(run, "doc_id long, pos int, key long, other long, other_pos int, kind int")
 
 
-def _extend(pairs: DataFrame, least: int, block: int, window: int) -> DataFrame:
-    """Runs of matches (words w0 to w1 of a document) extended left and right along a diagonal for as long as the words are equal,
-    with code points at both ends. A side is extended only where the diagonal holds at that end of the run.
+def _extend(runs: DataFrame, least: int, block: int, window: int) -> DataFrame:
+    """Passages along the neighbours of a run's first and last match, for as long as the words are equal, with code points at both ends.
 
-    Rows with a hash are the windows of ``least`` words that keep a block of the run and pass an extended end: they count only
-    if another document has the same. A shared window keeps its first minimiser, so it starts at most ``window`` - 1 words before
-    the run and ``block`` before its end.
+    Rows with a hash are the open windows of ``least`` words: those that hold a block of the run and are not part of a passage
+    found here. A shared window keeps its first minimiser, so it starts at most ``window`` - 1 words before the run and ``block`` before its end.
     """
 
-    def more(x: np.ndarray, y: np.ndarray) -> int:
+    def same(x: np.ndarray, y: np.ndarray) -> int:
         n = min(len(x), len(y))
         off = np.flatnonzero(x[:n] != y[:n])
         return int(off[0]) if len(off) else n
 
+    def words(text):
+        return Words([(text or "").encode("utf-8", "surrogatepass")])
+
     def run(batches):
+        claim("suffix_dedup")
         for batch in batches:
-            doc, other, diag, w0, w1 = (batch.column(i).to_pylist() for i in range(5))
-            ta, tb = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            rows, passing = [], []
-            text, b = None, None
+            doc, w0, w1, lo, lo_diag, hi, hi_diag, ta, tlo, thi = (batch.column(i).to_pylist() for i in range(10))
+            rows, passing, text, a = [], [], None, None
             for i in range(len(doc)):
-                raw = (ta[i] or "").encode("utf-8", "surrogatepass")
-                a = Words([raw])
-                if text is None or text != tb[i]:
-                    text, b = tb[i], Words([(tb[i] or "").encode("utf-8", "surrogatepass")]).h
-                s, e, d = w0[i], w1[i], diag[i]
-                if not (0 <= s < e <= len(a.h)):
-                    continue  # a second text under the same doc_id
-                first, last = max(0, s - window + 1), min(e - block, len(a.h) - least)
-                ends = []
-                if 0 <= s + d < len(b) and a.h[s] == b[s + d]:
-                    s -= more(a.h[:s][::-1], b[: s + d][::-1])
-                    ends.append((first, min(s - 1, last)))
-                if 0 < e + d <= len(b) and a.h[e - 1] == b[e - 1 + d]:
-                    e += more(a.h[e:], b[e + d :])
-                    ends.append((max(first, e - least + 1), last))
-                for u, v in ends:
-                    if u <= v:
-                        passing.append(_windows(doc[i], raw, a, u, v, least))
-                c0 = len(raw[: a.start[s]].decode("utf-8", "surrogatepass"))
-                c1 = c0 + len(raw[a.start[s] : a.end[e - 1]].decode("utf-8", "surrogatepass"))
-                rows.append((doc[i], s, e, c0, c1, other[i]))
+                if text is None or ta[i] != text:
+                    text, raw = ta[i], (ta[i] or "").encode("utf-8", "surrogatepass")
+                    a = Words([raw])
+                    ends = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                s, e = w0[i], w1[i]
+                u, v = max(0, s - window + 1), min(e - block, len(a.h) - least)
+                open_ = np.ones(max(0, v - u + 1), bool)
+                near = [(lo[i], s, lo_diag[i], tlo[i])]
+                if (hi[i], hi_diag[i]) != (lo[i], lo_diag[i]) or s + same(a.h[s:], (b := words(tlo[i]).h)[max(0, s + lo_diag[i]) :]) < e:
+                    near.append((hi[i], e - block, hi_diag[i], tlo[i] if thi[i] is None else thi[i]))
+                for other, at, d, tb in near:
+                    b = words(tb).h
+                    if not 0 <= at + d < len(b) or a.h[at] != b[at + d]:
+                        continue
+                    x, y = at - same(a.h[:at][::-1], b[: at + d][::-1]), at + same(a.h[at:], b[at + d :])
+                    if y - x >= least:
+                        open_[max(0, x - u) : max(0, y - least - u + 1)] = False
+                        rows.append((doc[i], x, y, int(ends[a.start[x]]) - 1, int(ends[a.end[y - 1] - 1]), other))
+                at = u + np.flatnonzero(open_)
+                if len(at):
+                    passing.append((np.full(len(at), doc[i], np.int64), at, at + least, ends[a.start[at]] - 1, ends[a.end[at + least - 1] - 1], run_hashes(a.h, least)[at].view(np.int64)))
             names = ["doc_id", "w0", "w1", "c0", "c1", "other", "hash"]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)), pa.nulls(len(rows), pa.int64())], names)
             if passing:
-                doc_id, w0, c0, c1, h = (np.concatenate(c) for c in zip(*passing))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(w0), pa.array(w0 + least), pa.array(c0), pa.array(c1), pa.nulls(len(w0), pa.int64()), pa.array(h)], names)
+                doc_id, x, y, c0, c1, h = (np.concatenate(c) for c in zip(*passing))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in (doc_id, x, y, c0, c1)), pa.nulls(len(x), pa.int64()), pa.array(h)], names)
 
-    return pairs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long, hash long")
+    return runs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long, hash long")
 
 
-def _windows(doc: int, raw: bytes, words: Words, u: int, v: int, least: int) -> tuple[np.ndarray, ...]:
-    """doc_id, first word, code points at both ends and hash of the windows of ``least`` words that start at words u to v."""
-    n, low = v - u + 1, int(words.start[u])
-    lead = (np.frombuffer(raw, np.uint8)[: int(words.end[v + least - 1])] & 0xC0) != 0x80
-    at = np.concatenate([[0], np.cumsum(lead[low:])]) + np.count_nonzero(lead[:low])
-    start, end = np.asarray(words.start[u : v + 1]) - low, np.asarray(words.end[u + least - 1 : v + least]) - low
-    part = min(least, 48)  # rolling() takes 64 words at most
-    h = rolling(words.h[u : v + least], part)
-    steps = [*range(0, least - part, part), least - part]
-    hashes = rolling(np.stack([h[k : k + n] for k in steps], 1).ravel(), len(steps))[:: len(steps)] if len(steps) > 1 else h
-    return np.full(n, doc, np.int64), np.arange(u, v + 1), at[start], at[end], hashes.view(np.int64)
+def _holders(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
+    """hash, lo, hi: of each open window the smallest and the largest document that has it. Every window of every document is
+    tested against a filter of the open ones (beyond its size all are sent) and then counted with map-side combine."""
+    held = bits_of(open_.select("hash"))
 
+    def run(batches):
+        claim("suffix_dedup")
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, part in chunks(batch.column(1).to_pylist()):
+                w = Words(part)
+                if len(w.h) < least:
+                    continue
+                h, first = run_hashes(w.h, least), w.first
+                d = np.searchsorted(first, np.arange(len(h)), "right") - 1  # texts without words share their first word's index with the next
+                ok = np.arange(len(h)) + least <= first[d + 1]
+                ok[ok] = in_bits(held, h[ok])
+                yield pa.record_batch({"hash": pa.array(h[ok].view(np.int64)), "doc_id": pa.array(ids[at + d[ok]])})
 
-def _shared(windows: DataFrame) -> DataFrame:
-    """The windows that stand in two documents, with the smallest other one."""
-    both = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    return windows.drop("other").join(both, "hash").select("doc_id", "w0", "w1", "c0", "c1", F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
+    found = docs.where("text is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long")
+    return found.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
 
 
 def _runs(hits: DataFrame, block: int) -> DataFrame:
-    """doc_id, other, diag, w0, w1: the stretches that a document's matching blocks cover, each with the neighbours of its first and its
-    last match alone, so a stretch gives four rows at most however many matches it has."""
+    """doc_id, w0, w1, lo, lo_diag, hi, hi_diag: the stretches that a document's matching blocks cover, with the neighbours of the
+    first and the last match."""
     at = Window.partitionBy("doc_id").orderBy("pos", "other", "other_pos")
     far = F.lag("pos").over(at)
     marked = hits.withColumn("new", F.when(far + block >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id", "run")
-    ends = marked.withColumn("lo", F.min("pos").over(whole)).withColumn("hi", F.max("pos").over(whole)).where("pos = lo or pos = hi")
-    return ends.select("doc_id", "other", (F.col("other_pos") - F.col("pos")).alias("diag"), F.col("lo").alias("w0"), (F.col("hi") + block).alias("w1")).distinct()
+    match = F.struct("pos", "other", (F.col("other_pos") - F.col("pos")).alias("diag"))
+    whole = marked.groupBy("doc_id", "run").agg(F.min(match).alias("lo"), F.max(match).alias("hi"))
+    return whole.select("doc_id", F.col("lo.pos").alias("w0"), (F.col("hi.pos") + block).alias("w1"), F.col("lo.other").alias("lo"), F.col("lo.diag").alias("lo_diag"), F.col("hi.other").alias("hi"), F.col("hi.diag").alias("hi_diag"))
 
 
-def _hits(spark, suffixes: DataFrame, folder: str, name: str, ascending: bool) -> DataFrame:
-    """Suffixes with a neighbour, and that neighbour: the nearest before in the given direction of the order, else the one after."""
+def _hits(spark, suffixes: DataFrame, folder: str) -> DataFrame:
+    """Suffixes with a neighbour, and that neighbour: the nearest before in the order, else the one after."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(c) if ascending else F.col(c).desc() for c in ("key", "left", "more", "doc_id", "pos")]
-    near = materialise(spark, _neighbours(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)), folder, name)
+    order = ["key", "left", "more", "doc_id", "pos"]
+    near = materialise(spark, _neighbours(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)), folder, "near")
     # runs that a partition's edge cut: at most two edge rows a partition
     edges = near.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi"))
     partner = F.when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo")).when(F.col("hi.doc_id") != F.col("doc_id"), F.col("hi"))
-    columns = ["doc_id", "pos", "key", "left", "more"]
-    loose = near.where("kind = 1").join(edges, "key").select(*columns, partner.alias("o")).where("o is not null")
-    return near.where("kind = 0").select(*columns, "other", "other_pos").union(loose.select(*columns, "o.doc_id", "o.pos"))
+    loose = near.where("kind = 1").join(edges, "key").select("doc_id", "pos", partner.alias("o")).where("o is not null")
+    return near.where("kind = 0").select("doc_id", "pos", "other", "other_pos").union(loose.select("doc_id", "pos", "o.doc_id", "o.pos"))
+
+
+def _numbered(spark, docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a number for each row in place of doc_id, and the numbers' doc_ids, where rows share a doc_id; else docs as they are."""
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        return docs, None
+    rows = materialise(spark, docs.distinct().withColumn("row", F.monotonically_increasing_id()), folder, "rows")
+    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", "doc_id")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, window: int = 20) -> DataFrame:
-    """doc_id, start, end (code points), n_words, other_doc_id: the stretches of each document whose words stand, ``block`` in a row
-    or more, in other documents too, joined where they meet, and at least ``least_words`` long.
-
-    Words are runs between ASCII white space, A-Z lower-cased. The first minimiser of a shared passage of least_words lies within
-    ``window`` words of its start and leaves a whole block, so each such passage gives a match; matches are extended along
-    the neighbours on both sides of each suffix, found in the order of the block, then of the words before it, then of those after.
-    Windows of least_words that pass an extended end are looked up among those of all documents, so each such passage is found
-    whole, also where its block stands in many documents and its neighbours share less.
-    Repeats inside one document alone don't count. Null or short texts give no rows; rows with a null doc_id are left out;
-    rows that share a doc_id count as one document. Empty input: no rows.
+    """doc_id, start, end (code points), n_words, other_doc_id: the stretches of each document made of the passages of ``least_words``
+    words or more that another document has too, joined where they meet. other_doc_id is one that shares a part.
+
+    Words are runs between ASCII white space, A-Z lower-cased. Every window of least_words keeps its first minimiser within
+    ``window`` words of its start, with a whole block, so each shared window is in a run of matches on both sides: either a passage
+    that is compared word by word holds it, or it is looked up among the windows of all documents. Nothing shared is left out,
+    and nothing is returned of which no document has least_words in a row.
+
+    Repeats inside one document alone don't count. Null or short texts give no rows; rows with a null doc_id are left out. Rows that
+    share a doc_id are documents of their own, of equal ones one (their shared passages name that doc_id on both sides). Empty input: no rows.
     """
     if block + window > least_words:
         raise ValueError("block + window must not exceed least_words")
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    suffixes = materialise(spark, _suffixes(docs, block, window), folder, "suffixes")
-    ahead = materialise(spark, _hits(spark, suffixes, folder, "near", True), folder, "ahead")
-    discard(spark, folder, "suffixes", "near")
-    back = _hits(spark, ahead.select("doc_id", "pos", "key", "left", "more"), folder, "near-back", False)
-    hits = ahead.select("doc_id", "pos", "other", "other_pos").union(back.select("doc_id", "pos", "other", "other_pos"))
+    docs, ids = _numbered(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"), folder)
+    hits = _hits(spark, _suffixes(docs, block, window), folder)
     runs = materialise(spark, _runs(hits, block), folder, "runs")
-    discard(spark, folder, "ahead", "near-back")
-    texts = materialise(spark, rows_of(docs, runs.select("doc_id").union(runs.select("other"))), folder, "texts")
-    pairs = runs.join(texts.withColumnRenamed("text", "ta"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
-    found = materialise(spark, _extend(pairs.select("doc_id", "other", "diag", "w0", "w1", "ta", "tb"), least_words, block, window), folder, "found")
+    discard(spark, folder, "near")
+    texts = materialise(spark, rows_of(docs, runs.select("doc_id").union(runs.select("lo")).union(runs.select("hi"))), folder, "texts")
+    first, last = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("lo", "hi"))
+    both = runs.withColumn("hi_", F.when(F.col("hi") != F.col("lo"), F.col("hi"))).join(texts, "doc_id").join(first, "lo").join(last.withColumnRenamed("hi", "hi_"), "hi_", "left")
+    found = materialise(spark, _extend(both.select("doc_id", "w0", "w1", "lo", "lo_diag", "hi", "hi_diag", "text", "tlo", "thi"), least_words, block, window), folder, "found")
     discard(spark, folder, "runs", "texts")
-    spans = found.where("hash is null").drop("hash").union(_shared(found.where("hash is not null")))
+    open_ = found.where("hash is not null")
+    shared = open_.drop("other").join(_holders(docs, open_, least_words), "hash").select(
+        "doc_id", "w0", "w1", "c0", "c1", F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other")
+    )
+    spans = found.where("hash is null").drop("hash").union(shared)
     # join what meets, inside each document; a document's spans are few, and copies of a passage are in different documents
     order = Window.partitionBy("doc_id").orderBy("w0", F.desc("w1"), "other")
     reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.distinct().withColumn("new", F.when(reach >= F.col("w0"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = spans.withColumn("new", F.when(reach >= F.col("w0"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = islands.groupBy("doc_id", "island").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("c0").alias("start"), F.max("c1").alias("end"), F.min("other").alias("other_doc_id"))
-    return joined.select("doc_id", "start", "end", (F.col("w1") - F.col("w0")).alias("n_words"), "other_doc_id").where(F.col("n_words") >= least_words)
+    out = joined.select("doc_id", "start", "end", (F.col("w1") - F.col("w0")).alias("n_words"), "other_doc_id")
+    if ids is None:
+        return out
+    named = out.join(ids.withColumnRenamed("doc_id", "name"), F.col("doc_id") == F.col("row")).drop("doc_id", "row")
+    return named.join(ids, F.col("other_doc_id") == F.col("row")).select(F.col("name").alias("doc_id"), "start", "end", "n_words", F.col("doc_id").alias("other_doc_id"))
