@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, shared_dir
 from .native import let, plain_words, positions
 
 #: 1: the word counts, 0: it is ignored. All ways to have four of five words in a row: were there three at most in each five of an
 #: item of m words, 3 * (m // 5) + min(m % 5, 3) would match, less than the share of 0.7 (and eight words) asks for any m from 8 on, and
 #: a run's score would be 3 at most. So each pair that the default rule accepts has a seed; of items under eight words all must match.
 MASKS = ("1111", "11101", "11011", "10111")
-BROADCAST_WORDS = 2_000_000
+#: Sizes up to which a benchmark (words) and the documents with hits (ids) are broadcast; larger ones are joined by shuffle.
+BROADCAST_WORDS, BROADCAST_IDS = 200_000, 1_000_000
 
 
 def _seed(h: Column, k: int, at: list[int]):
@@ -63,7 +65,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = 12, least
         .select("item_id", "m", "seed", (F.col("p") % F.col("m")).alias("j"), F.get(spans, F.floor(F.col("p") / F.col("m")).cast("int")).alias("need"))
         .where((F.col("j") + F.col("need") <= F.col("m")) & ((F.col("need") >= len(MASKS[0])) | (F.col("need") == F.col("m")))).select("item_id", "seed", "j").distinct()
     )
-    if total <= BROADCAST_WORDS:  # a checked size; a larger benchmark is joined by shuffle
+    if total <= BROADCAST_WORDS:
         index = F.broadcast(index)
     seeds = docs.select("doc_id", _seeds(plain_words(F.col("text")), masks).alias("s"))
     seeds = seeds.select("doc_id", (F.size("s") / len(masks)).cast("int").alias("n"), F.posexplode("s").alias("p", "seed"))
@@ -71,7 +73,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = 12, least
         seeds.join(index, "seed").select("doc_id", "item_id", ((F.col("p") % F.col("n")) - F.col("j")).alias("shift")).distinct()
         .groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
     )
-    found = hits.join(docs, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    # few documents have hits: only their texts are shuffled
+    hits = materialise(docs.sparkSession, hits, shared_dir(docs.sparkSession), "hits")
+    ids = hits.select("doc_id").distinct()
+    if hits.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    found = hits.join(docs.join(ids, "doc_id", "left_semi"), "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
     found = found.select("doc_id", "item_id", "shifts", "item", plain_words(F.col("text")).alias("words"))
 
     def along(shift: Column) -> Column:

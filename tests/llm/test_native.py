@@ -133,15 +133,35 @@ def test_fingerprints_follow_the_definition(spark):
     df = fingerprints.fingerprints(docs)
     native(df)
     got = {(r.doc_id, r.n_chars): r for r in df.collect()}
+    marks = marks_of(spark, {z for _, x, y in want for z in (x, x[: len(x) - len(x) // 2] + y[: len(x) // 2])})
     for d, x, y in want:
         r = got[(d, len(x))]
         k = len(x) // 2
-        assert r.edited_sha256 == hashlib.sha256((x[: len(x) - k] + y[:k]).encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        e = x[: len(x) - k] + y[:k]
+        assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(".".join([f"{w % 2**64:X}", *(f"{v % 2**64:X}" for v in sorted(m))]) for m, w in (marks[x], marks[e]))
+        assert abs(r.near_edited - alike(marks[x], marks[e])) < 1e-9 and abs(r.near_next - alike(marks[x], marks[y])) < 1e-9
         if len(x) > 1500 and d != 503 and len(y) > 1500:
             assert 0.25 < r.near_edited < 0.75 and r.near_next < 0.2
 
 
+def marks_of(spark, texts):
+    """By text: the shingle hashes under a quarter of the range, and the hash of all words, from the words alone."""
+    words = {t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w] for t in texts}
+    runs = {t: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for t, w in words.items()}
+    rows = [list(x) for x in {r for v in runs.values() for r in v} | {tuple(w) for w in words.values() if w}]
+    hashed = spark.createDataFrame([(r,) for r in rows], "w array<string>").select("w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    long = hashed.select("w", F.xxhash64("h").alias("whole"), F.when(F.size("h") == 5, F.xxhash64(*[F.get("h", F.lit(i)) for i in range(5)])).otherwise(F.xxhash64("h")).alias("one")).collect()
+    whole, one = {tuple(r.w): r.whole for r in long}, {tuple(r.w): r.one for r in long}
+    return {t: ({one[r] for r in runs[t] if one[r] < 2**62 - 2**63}, whole[tuple(words[t])] if words[t] else 0) for t in texts}
+
+
+def alike(a, b):
+    if a[1] == b[1]:
+        return 1.0
+    return len(a[0] & b[0]) / min(len(a[0]), len(b[0])) if a[0] and b[0] else 0.0
+
+
 def test_sketch_containment(spark):
     rng = random.Random(9)
     big = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
@@ -151,6 +171,23 @@ def test_sketch_containment(spark):
     assert small == 1.0 and 0.05 < jac < 0.16 and same
 
 
+def test_sketches_of_short_texts(spark):
+    """Six words inside 3,000: never less than contained. Parts that overlap by four words merge to the sketch of the whole, at any split."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(12 if i % 2 else 3000)]
+        k = rng.randint(5, len(w) - 5)
+        rows.append((" ".join(w[k - 4 : k + 2]), " ".join(w), " ".join(w[: k + 4]), " ".join(w[k:])))
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string").repartition(4)
+    a, b, c, d = (fingerprints.sketch(F.col(x)) for x in "abcd")
+    got = df.select(fingerprints.containment(a, b).alias("in"), (fingerprints.merge(F.array(c, d)) == b).alias("same"), F.size(a).alias("n"))
+    native(got)
+    got = got.collect()
+    assert all(r["in"] in (None, 1.0) and r.same for r in got)
+    assert 0.3 < sum(r.n for r in got) / 200 < 0.7  # two shingles each, a quarter kept
+
+
 def test_fingerprints_edges(spark):
     assert fingerprints.fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
     one = fingerprints.fingerprints(spark.createDataFrame([(None, "a b c", "", 0)], SCHEMA)).collect()
