@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_sample, chunks, ship
+from .common import LOWER, SPACE, bounded_sample, chunks, claim, free_name, quoted, ship
 
 SIZES = (2, 3, 4)
 
@@ -103,7 +103,7 @@ def fit(rows: list[tuple[str, str]], bits: int = 17, dim: int = 16, epochs: int
 def train(docs: DataFrame, max_rows: int = 2500, max_bytes: int = 24_000_000) -> LanguageModel | None:
     """Fit on at most ``max_rows`` labelled rows and ``max_bytes`` of text, taken in the order of a hash of doc_id. None without any."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = bounded_sample(usable, ["text", "lang"], max_rows, max_bytes)
+    rows = bounded_sample(usable, ["text", "lang"], max_rows, max_bytes, by="lang")
     return fit([(r.text, r.lang) for r in rows]) if rows else None
 
 
@@ -116,10 +116,11 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    source = docs.select(*rest, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    source = docs.select(*[quoted(c) for c in rest], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "letters")))
     at_text = rest.index("text")
 
     def score(batches):
+        claim("lang_id")
         m = held.value
         for batch in batches:
             letters = batch.column(len(rest)).to_numpy(zero_copy_only=False)

@@ -10,7 +10,6 @@ The few windows left with much room at the end of a split are cut anew into full
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import claim, ship
 
 #: Characters that Python's split() takes for white space and the tokenizer does not, and the start of its special tokens.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
@@ -100,9 +99,13 @@ class WordTokenizer:
         return b"".join(ids)
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process and file, kept between tasks."""
-    held = sys.modules[__name__].__dict__.setdefault("_TOKENIZERS", {})
+    """One for each worker process and file, kept between tasks until another operator runs there."""
+    held = _TOKENIZERS
+    claim("packing", held.clear)
     if path not in held:
         import os
 

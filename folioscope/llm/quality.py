@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_sample, chunks, mix, ship
+from .common import Words, bounded_sample, chunks, claim, mix, ship
 
 
 @dataclass
@@ -105,6 +105,7 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality")
         m = held.value
         for batch in batches:
             z, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)

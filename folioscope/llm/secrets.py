@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship
+from .common import bounded_sample, claim, ship
 
 ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # maximal runs, so the length can stand in the pattern
@@ -170,6 +170,7 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("secrets")
         m = held.value
         for batch in batches:
             n, bases, spans = np.zeros((4, batch.num_rows), np.int64), [], []
@@ -202,6 +203,7 @@ def mask(docs: DataFrame, model: SecretModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        claim("secrets")
         m = held.value
         for batch in batches:
             texts = [masked(t, all_spans(t, m)[1]) if t else t for t in batch.column(at).to_pylist()]

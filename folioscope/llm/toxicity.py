@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, Words, bounded_sample, chunks, mix, ship
+from .common import PUNCT, Words, bounded_sample, chunks, claim, mix, ship
 
 
 @dataclass
@@ -87,6 +87,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, limit: float = 0.7) -> D
     held = docs.sparkSession.sparkContext.broadcast((model.bits, at.astype(np.int32), model.weights[at], model.bias) if model else None)
 
     def run(batches):
+        claim("toxicity")
         m, table = held.value, None
         for batch in batches:
             out = np.zeros(batch.num_rows)
