@@ -91,8 +91,9 @@ def bounded_sample(docs: DataFrame, columns: list[str], max_rows: int, max_bytes
     order = [F.xxhash64("doc_id", F.lit(11)), "doc_id", "b_", "h_"]
     if by:
         several = max(1, head.agg(F.approx_count_distinct("by_")).first()[0])
-        share = F.row_number().over(Window.partitionBy("by_").orderBy(*order))
-        head = head.withColumn("k_", share).where(F.col("k_") <= -(-max_rows // several))
+        # first among the rows of one in 64 parts of a value, so that a common value's rows are not ranked in one task
+        for part in (["by_", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(64))], ["by_"]):
+            head = head.withColumn("k_", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("k_") <= -(-max_rows // several))
     chosen, total = {}, 0
     for r in head.orderBy(*order).limit(max_rows).collect():
         if total + r.b_ <= max_bytes and tuple(r[:3]) not in chosen:

@@ -100,4 +100,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = 12, least
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, with all their columns; rows without doc_id or text stay."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    spark = docs.sparkSession
+    ids = materialise(spark, overlaps(docs, benchmark).select("doc_id").distinct(), shared_dir(spark), "contaminated")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
