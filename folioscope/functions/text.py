@@ -16,16 +16,45 @@ FUNCTION_WORDS = {
     "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es"],
     "es": ["el", "los", "las", "y", "del", "se", "por", "un", "con", "no", "una", "su", "para", "como", "al", "lo", "pero", "sus", "ya", "que"],
 }
-#: Small number words by language; a word that is also an article is kept, as a loss may hide behind it.
-NUMBER_WORDS = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
-    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
-    "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9, "dix": 10, "vingt": 20, "trente": 30,
-    "ein": 1, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10,
-    "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10,
+#: The names of 0 to 20, of the tens from 30 to 90, and of 1st to 10th in each language; other spellings follow with their values.
+CARDINALS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf vingt",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte",
+    "tr": "sıfır bir iki üç dört beş altı yedi sekiz dokuz on - - - - - - - - - yirmi",
+}
+TENS = {
+    "en": "thirty forty fifty sixty seventy eighty ninety", "de": "dreißig vierzig fünfzig sechzig siebzig achtzig neunzig", "fr": "trente quarante cinquante soixante - - -",
+    "es": "treinta cuarenta cincuenta sesenta setenta ochenta noventa", "tr": "otuz kırk elli altmış yetmiş seksen doksan",
+}
+ORDINALS = {
+    "en": "first second third fourth fifth sixth seventh eighth ninth tenth", "de": "erste zweite dritte vierte fünfte sechste siebte achte neunte zehnte",
+    "fr": "premier deuxième troisième quatrième cinquième sixième septième huitième neuvième dixième", "es": "primero segundo tercero cuarto quinto sexto séptimo octavo noveno décimo",
+    "tr": "birinci ikinci üçüncü dördüncü beşinci altıncı yedinci sekizinci dokuzuncu onuncu",
+}
+OTHERS = {
+    "en": {"hundred": 100, "thousand": 1000}, "de": {"ein": 1, "eine": 1, "ersten": 1, "erstes": 1, "hundert": 100, "tausend": 1000},
+    "fr": {"une": 1, "première": 1, "cent": 100, "mille": 1000}, "es": {"un": 1, "una": 1, "primera": 1, "segunda": 2, "tercera": 3, "cien": 100, "ciento": 100, "mil": 1000},
+    "tr": {"yüz": 100, "bin": 1000},
 }
-HUNDREDS = {"hundred": 100, "cent": 100, "hundert": 100, "cien": 100}
-THOUSANDS = {"thousand": 1000, "mille": 1000, "tausend": 1000, "mil": 1000}
+#: The digits that a fraction glyph stands for.
+FRACTIONS = {"½": "12", "⅓": "13", "⅔": "23", "¼": "14", "¾": "34", "⅕": "15", "⅖": "25", "⅗": "35", "⅘": "45", "⅙": "16", "⅚": "56", "⅛": "18", "⅜": "38", "⅝": "58", "⅞": "78"}
+
+
+def number_words(lang: str) -> dict[str, int]:
+    """Number words of a language; German joins units to hundreds, thousands and tens by rule, Spanish units to twenty."""
+    if lang not in CARDINALS:
+        return {}
+    units, tens, ordinals = CARDINALS[lang].split(), TENS[lang].split(), ORDINALS[lang].split()
+    out = {w: n for n, w in enumerate(units)} | {w: 10 * n for n, w in enumerate(tens, 3)} | {w: n for n, w in enumerate(ordinals, 1)} | OTHERS[lang]
+    if lang == "de":
+        ones = ["ein", *units[2:10]]
+        out |= {w + big: n * value for big, value in (("hundert", 100), ("tausend", 1000)) for n, w in enumerate(ones, 1)} | {"zehntausend": 10000, "hunderttausend": 100000}
+        out |= {f"{w}und{t}": n + 10 * k for k, t in enumerate(["zwanzig", *tens], 2) for n, w in enumerate(ones, 1)}
+    if lang == "es":
+        out |= {f"veinti{w}": 20 + n for n, w in enumerate(["uno", "dós", "trés", "cuatro", "cinco", "séis", "siete", "ocho", "nueve"], 1)}
+    return {w: n for w, n in out.items() if w.isalpha()}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,50 +111,120 @@ def is_copy(a: Column, b: Column) -> Column:
     return let(_words_of_both(a, b), lambda w: (F.size(w["a"]) >= 4) & ((_share(w) > 0.5) | identical(a, b)))
 
 
-def digit_groups(t: Column) -> Column:
-    """all digit runs in order; vulgar fractions count as their digits."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "½", " 1 2 "), "¼", " 1 4 "), "¾", " 3 4 ")
-    return F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0))
+#: A stretch of digits and separators that ends in a digit, and such a stretch when it is one number grouped in thousands.
+NUMBER = r"[.,]*[0-9](?:[0-9.,]*[0-9])?"
+GROUPED = r"^[0-9]{1,3}([.,][0-9]{3})+$"
+
+
+def _without_separators(run: Column) -> Column:
+    return F.when(run.rlike(GROUPED), F.regexp_replace(run, "[.,]", "")).otherwise(run)
 
 
 def joined_thousands(t: Column) -> Column:
-    """F8: separators dropped inside well-formed groups of three digits."""
-    sep = "[., \u00a0\u202f]"
-    return F.regexp_replace(t, rf"(?<=\b[0-9]{{1,3}}(?:{sep}[0-9]{{3}}){{0,6}}){sep}(?=[0-9]{{3}}(?:{sep}[0-9]{{3}})*\b(?![.,]?[0-9]))", "")
+    """F8: separators dropped inside well-formed groups of three digits; decimals and section numbers stay."""
+    parts, runs = F.split(t, NUMBER, -1), F.regexp_extract_all(t, F.lit(f"({NUMBER})"), F.lit(1))
+    return F.array_join(F.zip_with(parts, runs, lambda p, r: F.concat(p, F.coalesce(_without_separators(r), F.lit("")))), "")
 
 
-def spelled_numbers(words: Column) -> Column:
-    """values of runs of number words; hundreds multiply, thousands flush into the total; any other word ends a run."""
-    small = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
+def digit_groups(t: Column) -> Column:
+    """all digit runs in order, markers off; fraction glyphs count as their digits."""
+    t = strip_markers(t)
+    for glyph, digits in FRACTIONS.items():
+        t = F.replace(t, F.lit(glyph), F.lit(f" {digits[0]} {digits[1]} "))
+    return F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
+
+
+def spelled_numbers(t: Column, lang: Column) -> Column:
+    """values that a text writes in the words of a language (``de``, ``de-AT``, ...), in order: units add, hundreds multiply, thousands
+    flush into the total, any other word ends a number. A language without words here gives none."""
+    words = F.regexp_extract_all(F.lower(strip_markers(t)), F.lit(r"(\p{L}+)"), F.lit(1))
+    base = lang_code(lang)
+    out = F.array().cast("array<bigint>")
+    for code in CARDINALS:
+        out = F.when(base == code, _folded(words, number_words(code))).otherwise(out)
+    return out
+
+
+def _folded(words: Column, values: dict[str, int]) -> Column:
+    table = F.create_map(*[F.lit(x) for w, n in values.items() for x in (w, n)])
     state = "struct<total:bigint,current:bigint,seen:boolean,out:array<bigint>>"
 
     def put(total, current, seen, out):
-        return F.struct(total.cast("bigint").alias("total"), current.cast("bigint").alias("current"), seen.alias("seen"), out.alias("out")).cast(state)
+        return F.struct(total.cast("bigint").alias("total"), current.cast("bigint").alias("current"), F.lit(seen).alias("seen"), out.alias("out")).cast(state)
 
-    zero, none = F.lit(0), F.array().cast("array<bigint>")
+    def flushed(a):
+        return F.when(a["seen"], F.concat(a["out"], F.array(a["total"] + a["current"]))).otherwise(a["out"])
 
-    def step(a, w):
-        value = F.try_element_at(small, w)
-        flushed = F.when(a["seen"], F.concat(a["out"], F.array(a["total"] + a["current"]))).otherwise(a["out"])
+    zero = F.lit(0)
+
+    def step(a, v):
+        many = F.when(a["current"] == 0, F.lit(1)).otherwise(a["current"])
         return (
-            F.when(value.isNotNull(), put(a["total"], a["current"] + value, F.lit(True), a["out"]))
-            .when(w.isin(*HUNDREDS) & a["seen"], put(a["total"], F.greatest(a["current"], F.lit(1)) * 100, F.lit(True), a["out"]))
-            .when(w.isin(*THOUSANDS) & a["seen"], put(a["total"] + F.greatest(a["current"], F.lit(1)) * 1000, zero, F.lit(True), a["out"]))
-            .otherwise(put(zero, zero, F.lit(False), flushed))
-        )
+            F.when(v.isNull(), put(zero, zero, False, flushed(a))).when(v == 100, put(a["total"], many * 100, True, a["out"]))
+            .when(v == 1000, put(a["total"] + many * 1000, zero, True, a["out"])).otherwise(put(a["total"], a["current"] + v, True, a["out"]))
+        )
+
+    found = F.transform(words, lambda w: F.try_element_at(table, w))
+    return F.when(F.exists(found, lambda v: v.isNotNull()), F.aggregate(found, put(zero, zero, False, F.array().cast("array<bigint>")), step, flushed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def numbers_needed(source: Column) -> Column:
+    return digit_groups(joined_thousands(source))
+
+
+def numbers_had(target: Column, lang: Column | None = None) -> Column:
+    """Digit groups of a reply, and what it spells out in its language."""
+    own = digit_groups(joined_thousands(target))
+    return own if lang is None else F.concat(own, F.transform(spelled_numbers(target, lang), lambda n: n.cast("string")))
+
+
+def lacks(need: Column, have: Column) -> Column:
+    """Some element stands in ``have`` less often than in ``need``."""
+    return let(F.struct(need.alias("s"), have.alias("t")), lambda d: F.exists(F.array_distinct(d["s"]), lambda g: F.size(F.filter(d["s"], lambda x: x == g)) > F.size(F.filter(d["t"], lambda x: x == g))))
+
+
+def drops_numbers(source: Column, target: Column, lang: Column | None = None) -> Column:
+    """A number of the source is missing from the target: thousands joined, fractions as digits, spelled values of the target's
+    language counted as had."""
+    return source.rlike("[0-9½-¾⅓-⅞]") & lacks(numbers_needed(source), numbers_had(target, lang))
+
+
+def function_words_in(t: Column) -> Column:
+    """The words of a text that are a function word of any language, in order with repeats: few, so that languages are told from these alone."""
+    every = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
+    return F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w.isin(*every))
+
+
+def hits_of(found: Column, lang: str) -> Column:
+    """How many of the function words found are of the language."""
+    return F.size(F.filter(found, lambda w: w.isin(*FUNCTION_WORDS[lang])))
+
 
-    return F.aggregate(words, put(zero, zero, F.lit(False), none), step, lambda a: F.when(a["seen"], F.concat(a["out"], F.array(a["total"] + a["current"]))).otherwise(a["out"]))
+def foreign_hits(found: Column, lang: Column) -> Column:
+    """The most words that one other language has among those found and the own one lacks, where two of them differ; null without any."""
+    out = []
+    for own, own_words in FUNCTION_WORDS.items():
+        for other, words in FUNCTION_WORDS.items():
+            if own != other:
+                only = [w for w in words if w not in own_words]
+                hits = F.filter(found, lambda w: w.isin(*only))  # noqa: B023
+                out.append(F.when((lang == own) & (F.size(F.array_distinct(hits)) >= 2), F.size(hits)))
+    return F.greatest(*out)
 
 
-def drops_numbers(source: Column, target: Column) -> Column:
-    """Some digit group stands in the target less often than in the source."""
-    both = F.struct(digit_groups(source).alias("s"), digit_groups(target).alias("t"))
-    return let(both, lambda d: F.exists(F.array_distinct(d["s"]), lambda g: F.size(F.filter(d["s"], lambda x: x == g)) > F.size(F.filter(d["t"], lambda x: x == g))))
+def wrong_language(t: Column, lang: Column) -> Column:
+    """six words or more, two distinct function words or more of another language that the own one lacks, their share at least
+    0.12 and above the own share. Unknown languages are never judged."""
+    n = F.size(F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != ""))
+    own = F.coalesce(*[F.when(lang == lg, F.lit(lg)) for lg in FUNCTION_WORDS])
 
+    def judge(x):
+        mine = F.coalesce(*[F.when(lang == lg, hits_of(x["f"], lg)) for lg in FUNCTION_WORDS])
+        foreign = foreign_hits(x["f"], lang)
+        return F.coalesce((foreign / x["n"] >= 0.12) & (foreign > mine), F.lit(False))
 
-def function_word_hits(t: Column, lang: str) -> Column:
-    """Words of the text that are function words of the language (with repeats)."""
-    return F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w.isin(*FUNCTION_WORDS[lang]))
+    both = F.struct(function_words_in(t).alias("f"), n.alias("n"))
+    return own.isNotNull() & let(both, lambda x: (x["n"] >= 6) & (F.size(x["f"]) >= 2) & judge(x))
 
 
 def scripts(w: Column) -> Column:
@@ -137,7 +236,8 @@ def scripts(w: Column) -> Column:
 def garbled_words(source: Column, target: Column) -> Column:
     """words of the target that mix scripts, one of them absent from the source."""
     mixed = F.filter(F.split(target, SPACE), lambda w: F.size(scripts(w)) >= 2)
-    return let(F.struct(mixed.alias("w"), scripts(source).alias("own")), lambda m: F.filter(m["w"], lambda w: F.size(F.array_except(scripts(w), m["own"])) > 0))
+    # two of three scripts need a letter of the latter two
+    return F.when(~target.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), F.array().cast("array<string>")).otherwise(let(F.struct(mixed.alias("w"), scripts(source).alias("own")), lambda m: F.filter(m["w"], lambda w: F.size(F.array_except(scripts(w), m["own"])) > 0)))
 
 
 def is_data_only(t: Column) -> Column:
@@ -154,7 +254,8 @@ def is_checked(t: Column) -> Column:
     return (F.trim(t) != "") & ~is_data_only(t) & (letter_share(t) >= 0.3)
 
 
-HEADINGS = ["references", "bibliography", "works cited", "literature", "bibliographie", "références", "literatur", "literaturverzeichnis", "quellen", "bibliografía", "referencias", "kaynakça", "kaynaklar"]
+#: Headings of source lists in the four languages of the tables.
+HEADINGS = ["sources", "references", "works cited", "further reading", "bibliography", "sources citées", "références", "bibliographie", "quellen", "quellenverzeichnis", "literatur", "literaturverzeichnis", "fuentes", "referencias", "obras citadas", "bibliografía"]
 
 
 def is_bibliography_heading(t: Column) -> Column:

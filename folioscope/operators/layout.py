@@ -1,9 +1,7 @@
-"""Box algebra and layout operators: band joins within a page, free room, columns, islands, unions, grouped maps."""
+"""Box algebra and layout operators: band joins within a page, free room, columns, islands, unions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +22,18 @@ def intersection(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
 
 
-def overlaps(lay: DataFrame, share: float = 0.3, band: float = 60.0) -> DataFrame:
-    """Pairs of boxes of a page whose intersection exceeds a share of the smaller one.
+def overlaps(lay: DataFrame, share: float = 0.3, band: float = 60.0, carry: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes of a page whose intersection exceeds a share of the smaller one; with ``carry`` also these columns of the first
+    box, and both left edges.
 
     A band join: a box is put in every y-band that it touches, so the equi keys are (document, page, band); a pair is kept in
     the band where the lower of both tops lies, once.
     """
     bands = F.sequence(F.floor(F.col("y0") / band), F.floor(F.col("y1") / band))
     rows = lay.withColumn("band", F.explode(bands))
-    a, b = (rows.select(*PAGE, "band", *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "x0", "y0", "x1", "y1")]) for p in "ab")
+    a, b = (rows.select(*PAGE, "band", *(carry or [] if p == "a" else []), *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "x0", "y0", "x1", "y1")]) for p in "ab")
     pair = a.join(b, [*PAGE, "band"]).where((F.col("a_ord") < F.col("b_ord")) & (F.col("band") == F.floor(F.greatest("a_y0", "b_y0") / band)))
-    return pair.where(intersection("a", "b") > share * F.least(area("a"), area("b"))).select(*PAGE, "a_ord", "b_ord", intersection("a", "b").alias("shared"))
+    return pair.where(intersection("a", "b") > share * F.least(area("a"), area("b"))).select(*PAGE, "a_ord", "b_ord", intersection("a", "b").alias("shared"), *([*carry, "a_x0", "b_x0"] if carry else []))
 
 
 def free_below(lay: DataFrame, limit: float) -> DataFrame:
@@ -96,84 +95,6 @@ def union_area(lay: DataFrame) -> DataFrame:
     return cover.groupBy(*PAGE).agg(F.sum(F.col("h") * (F.col("to") - F.col("x"))).alias("covered"))
 
 
-# ---- sequential algorithms of one page: grouped maps over bounded page groups
-
-
-def _cut(b: np.ndarray, least: float) -> list[np.ndarray]:
-    """Row sets in reading order: cut at the widest gap of either axis, again and again. b: x0, y0, x1, y1, ord."""
-    if len(b) < 3:
-        return [b[np.lexsort((b[:, 0], b[:, 1]))]]
-    best = None
-    for lo, hi, first in ((1, 3, 0), (0, 2, 1)):
-        s = b[np.argsort(b[:, lo], kind="stable")]
-        reach = np.maximum.accumulate(s[:, hi])[:-1]
-        gap = s[1:, lo] - reach
-        k = int(np.argmax(gap)) if len(gap) else -1
-        if k >= 0 and gap[k] > least and (best is None or gap[k] > best[0]):
-            best = (gap[k], s[: k + 1], s[k + 1 :])
-    if best is None:
-        return [b[np.lexsort((b[:, 0], b[:, 1]))]]
-    return _cut(best[1], least) + _cut(best[2], least)
-
-
-def xy_cut(lay: DataFrame, line_heights: float = 1.2) -> DataFrame:
-    """Regions of each page by recursive cuts, and every box's place in the reading order."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf.sort_values("ord")[["x0", "y0", "x1", "y1", "ord"]].to_numpy(float)
-        least = line_heights * float(np.median(b[:, 3] - b[:, 1]))
-        rows = [(r, int(o)) for r, part in enumerate(_cut(b, least)) for o in part[:, 4]]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "pg": pdf["pg"].iloc[0], "ord": [o for _, o in rows], "region": [r for r, _ in rows], "place": range(len(rows))})
-
-    return lay.select(*PAGE, "ord", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, region int, place int")
-
-
-def table_grid(lay: DataFrame, overlap: float = 0.6) -> DataFrame:
-    """Rows of each page (boxes whose y-spans overlap the row's first box), and columns by left edge."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "ord"]).reset_index(drop=True)
-        row, rows, span = -1, [], (0.0, 0.0)
-        for y0, y1 in zip(pdf["y0"], pdf["y1"]):
-            shared = min(y1, span[1]) - max(y0, span[0])
-            if row < 0 or shared < overlap * min(y1 - y0, span[1] - span[0]):
-                row, span = row + 1, (y0, y1)
-            rows.append(row)
-        pdf["row"] = rows
-        lefts = sorted(pdf["x0"].unique())
-        height = float((pdf["y1"] - pdf["y0"]).median()) * 1.2
-        column, at = {}, -1
-        for i, x in enumerate(lefts):
-            if i == 0 or x - lefts[i - 1] > height:
-                at += 1
-            column[x] = at
-        pdf["col"] = pdf["x0"].map(column)
-        return pdf[["doc_id", "pg", "ord", "row", "col"]]
-
-    return lay.select(*PAGE, "ord", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, row int, col int")
-
-
-def greedy_nms(boxes: DataFrame, share: float = 0.8) -> DataFrame:
-    """Boxes kept by falling score when no kept one covers a share of the smaller. boxes: PAGE, ord, x0..y1, score."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "ord"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples(index=False):
-            a = (r.x1 - r.x0) * (r.y1 - r.y0)
-            clash = False
-            for k in kept:
-                i = max(0.0, min(r.x1, k.x1) - max(r.x0, k.x0)) * max(0.0, min(r.y1, k.y1) - max(r.y0, k.y0))
-                if i >= share * min(a, (k.x1 - k.x0) * (k.y1 - k.y0)):
-                    clash = True
-                    break
-            if not clash:
-                kept.append(r)
-        return pd.DataFrame({"doc_id": [k.doc_id for k in kept], "pg": [k.pg for k in kept], "ord": [k.ord for k in kept]})
-
-    return boxes.groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int")
-
-
 def paragraphs(lay: DataFrame, times: float = 3.0) -> DataFrame:
     """A new paragraph starts where the gap above a line reaches ``times`` the page's median gap and half a line."""
     w = Window.partitionBy(*PAGE, "x0").orderBy("y0", "ord")
@@ -181,25 +102,3 @@ def paragraphs(lay: DataFrame, times: float = 3.0) -> DataFrame:
     m = g.groupBy(*PAGE).agg(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), 0.5).alias("mid"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("line"))
     flagged = g.join(m, PAGE).withColumn("new", F.when(F.col("gap") >= F.greatest(F.coalesce(F.col("mid"), F.lit(0.0)) * times, F.col("line") / 2), 1).otherwise(0))
     return flagged.select(*PAGE, "ord", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("paragraph"))
-
-
-def closure(pairs: DataFrame) -> DataFrame:
-    """K4: everything reachable over overlapping boxes: the smallest ord of each box's closure. A page's pairs are a bounded group."""
-    both = pairs.select(*PAGE, F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
-    both = both.union(both.select(*PAGE, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(pdf["a"], pdf["b"]):
-            x, y = find(int(a)), find(int(b))
-            parent[max(x, y)] = min(x, y)
-        nodes = sorted(parent)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "pg": pdf["pg"].iloc[0], "ord": nodes, "label": [find(n) for n in nodes]})
-
-    return both.groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, label int")

@@ -64,28 +64,64 @@ def lookup(requests: DataFrame, mem: DataFrame, max_len: Column | None = None) -
     return found.withColumn("hit", ok)
 
 
+#: Glossaries up to this many terms are broadcast (about 64 MB of terms at most); larger ones are joined by shuffle, hot terms in SALTS parts.
+BROADCAST_TERMS, SALTS = 500_000, 16
+
+
+def phrases(seg: DataFrame, stop: list[str]) -> DataFrame:
+    """READING, phrase: runs of one to three letter words that neither begin nor end with a stop word, of four characters at least. Words are
+    exploded once; a run is only put together when both its ends count."""
+    words = seg.select(*READING, F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ").alias("w"))
+    at = words.select(*READING, F.posexplode("w").alias("i", "first"), "w").where(~F.lower("first").isin(*stop))
+    second, third = F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)
+    runs = F.array_compact(F.array(
+        F.col("first"), F.when(second.isNotNull() & ~F.lower(second).isin(*stop), F.concat_ws(" ", "first", second)),
+        F.when(third.isNotNull() & ~F.lower(third).isin(*stop), F.concat_ws(" ", "first", second, third)),
+    ))
+    return at.select(*READING, F.explode(runs).alias("phrase")).where(F.length("phrase") >= 4)
+
+
 def terms_in(seg: DataFrame, terms: DataFrame, longest: int = 1) -> DataFrame:
-    """The glossary terms of each text as whole words, exact case. Texts are cut into words and word runs up to the longest
-    term, then joined by equality: the glossary may be of any size."""
-    words = seg.select(*READING, F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " ").alias("w"))
+    """The glossary terms of each text as whole words, exact case. Texts are cut into runs of words up to the longest term, which meet
+    the terms by equality: a small glossary (its size is checked) filters them before any shuffle, a large one is joined."""
+    w = F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " ")
+    words = seg.select(*READING, w.alias("w"))
     runs = words.select(*READING, F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), word_run(n))).otherwise(F.array().cast("array<string>"))
+        F.when(F.size("w") >= n, F.zip_with(*[F.slice("w", k + 1, F.size("w") - n + 1) for k in range(2)], lambda a, b: F.concat(a, F.lit(" "), b)) if n == 2 else F.col("w") if n == 1
+               else F.transform(F.sequence(F.lit(0), F.size("w") - n), word_run(n))).otherwise(F.array().cast("array<string>"))
         for n in range(1, longest + 1)
     ])))).alias("term"))
-    return runs.join(terms, "term")
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return runs.join(F.broadcast(terms), "term")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return runs.withColumn("salt", F.pmod(F.xxhash64(*READING), F.lit(SALTS)).cast("int")).join(terms.select("*", salt), ["term", "salt"]).drop("salt")
 
 
-def suspicious(tr: DataFrame) -> DataFrame:
-    """The reasons for which a reply is asked for again, in one pass over built-in predicates."""
+def prepared(tr: DataFrame) -> DataFrame:
+    """What the predicates on replies share, computed once a row: normalised texts and ordinary words of both sides."""
+    return tr.select("*", *[f(F.col(c)).alias(f"{k}_{c}") for c in ("source", "target") for k, f in (("norm", T.normalised), ("words", T.ordinary_words))])
+
+
+def judged(tr: DataFrame) -> DataFrame:
+    """Flags of every reply from the prepared columns: missing, identical, copy, numbers, garbled, foreign (written in another language than
+    ``lang``), and the number of ordinary words of the source."""
     s, t = F.col("source"), F.col("target")
-    missing = t == ""
-    return tr.select(
-        *READING, "lang", "source", "target", missing.alias("missing"), (~missing & T.identical(s, t)).alias("identical"), (~missing & T.is_copy(s, t)).alias("copy"),
-        (~missing & T.drops_numbers(s, t)).alias("numbers"), (~missing & (F.size(T.garbled_words(s, t)) > 0)).alias("garbled"),
-        (~missing & (F.length(t) > 2 * F.length(s)) & (F.length(s) >= 20)).alias("runaway"),
+    there = t != ""
+    same = (F.col("norm_source") != "") & (F.col("norm_source") == F.col("norm_target"))
+    shared = T.let(F.array_distinct("words_source"), lambda x: F.size(F.array_intersect(x, F.col("words_target"))) > 0.5 * F.size(x))
+    return prepared(tr).select(
+        *tr.columns, F.size("words_source").alias("n_words"), (~there).alias("missing"), (there & same).alias("identical"),
+        (there & (F.size("words_source") >= 4) & (same | shared)).alias("copy"), (there & T.drops_numbers(s, t)).alias("numbers"),
+        (there & (F.size(T.garbled_words(s, t)) > 0)).alias("garbled"), (there & T.wrong_language(t, F.col("lang"))).alias("foreign"),
     )
 
 
+def suspicious(tr: DataFrame) -> DataFrame:
+    """The reasons for which a reply is asked for again, in one pass."""
+    s, t = F.col("source"), F.col("target")
+    return judged(tr).withColumn("runaway", ~F.col("missing") & (F.length(t) > 2 * F.length(s)) & (F.length(s) >= 20))
+
+
 def apply_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
     """Replies onto blocks by id; a block without one keeps its text."""
     return blocks.join(replies.select(*READING, "target"), READING, "left").withColumn("written", F.when(F.coalesce("target", F.lit("")) != "", F.col("target")).otherwise(F.col("text")))

@@ -1,97 +1,10 @@
-"""Sequential algorithms of one page or document (SURVEY tier B), as grouped maps over bounded groups or folds."""
+"""Sequential algorithms of one page or document (SURVEY tier B), as folds."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .layout import PAGE
-
-
-def boxes_to_lines(lay: DataFrame, reach: float = 1.5) -> DataFrame:
-    """Boxes joined to the first line whose y-band holds their middle and whose right end is within ``reach`` mean heights."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "ord"])
-        mean = float((pdf["y1"] - pdf["y0"]).mean())
-        lines: list[dict] = []
-        place = []
-        for r in pdf.itertuples(index=False):
-            mid = (r.y0 + r.y1) / 2
-            k = next((i for i, ln in enumerate(lines) if ln["y0"] <= mid <= ln["y1"] and r.x0 - ln["x1"] <= reach * mean), None)
-            if k is None:
-                lines.append({"y0": r.y0, "y1": r.y1, "x1": r.x1})
-                k = len(lines) - 1
-            else:
-                ln = lines[k]
-                ln["y0"], ln["y1"], ln["x1"] = min(ln["y0"], r.y0), max(ln["y1"], r.y1), max(ln["x1"], r.x1)
-            place.append(k)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "pg": pdf["pg"], "ord": pdf["ord"], "line": place})
-
-    return lay.select(*PAGE, "ord", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, line int")
-
-
-def reading_order(lay: DataFrame, width: float = 600.0, height: float = 800.0) -> DataFrame:
-    """Top and bottom margins first and last, full-width boxes part the page, columns in between are read one after the other."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0", "ord"]).to_dict("records")
-        top = [r for r in rows if r["y1"] <= 0.12 * height]
-        foot = [r for r in rows if r["y0"] >= 0.88 * height and r not in top]
-        body = [r for r in rows if r not in top and r not in foot]
-        out, held = list(top), []
-
-        def columns():
-            cols: list[list[dict]] = []
-            for r in sorted(held, key=lambda r: (r["x0"], r["y0"], r["ord"])):
-                for c in cols:
-                    lo, hi = min(x["x0"] for x in c), max(x["x1"] for x in c)
-                    if min(hi, r["x1"]) - max(lo, r["x0"]) > 0:
-                        c.append(r)
-                        break
-                else:
-                    cols.append([r])
-            for c in sorted(cols, key=lambda c: min(x["x0"] for x in c)):
-                out.extend(sorted(c, key=lambda r: (r["y0"], r["x0"], r["ord"])))
-            held.clear()
-
-        for r in body:
-            if r["x1"] - r["x0"] >= 0.7 * width:
-                columns()
-                out.append(r)
-            else:
-                held.append(r)
-        columns()
-        out += foot
-        return pd.DataFrame({"doc_id": [r["doc_id"] for r in out], "pg": [r["pg"] for r in out], "ord": [r["ord"] for r in out], "place": range(len(out))})
-
-    return lay.select(*PAGE, "ord", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, place int")
-
-
-def wrapped_lines(lay: DataFrame, gap: float = 6.0) -> DataFrame:
-    """A box takes in the nearest overlapping box below it within ``gap``, again and again; ``head`` is the first of each chain."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0", "ord"]).to_dict("records")
-        taken: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            if r["ord"] in taken:
-                continue
-            taken[r["ord"]] = r["ord"]
-            bottom, x0, x1 = r["y1"], r["x0"], r["x1"]
-            while True:
-                near = [s for s in rows[i + 1 :] if s["ord"] not in taken and 0 <= s["y0"] - bottom <= gap and min(x1, s["x1"]) - max(x0, s["x0"]) > 0]
-                if not near:
-                    break
-                s = min(near, key=lambda s: (s["y0"] - bottom, s["ord"]))
-                taken[s["ord"]] = r["ord"]
-                bottom, x0, x1 = s["y1"], min(x0, s["x0"]), max(x1, s["x1"])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "pg": pdf["pg"].iloc[0], "ord": list(taken), "head": list(taken.values())})
-
-    return lay.select(*PAGE, "ord", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(page, "doc_id long, pg int, ord int, head int")
-
-
 def stretches(seg: DataFrame, least: int, size: int) -> DataFrame:
     """Segments of ``least`` characters put in groups that close when their running size reaches ``size``: a fold per document."""
     g = seg.where(F.length("text") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.length("text").cast("int").alias("n")))).alias("s"))
@@ -118,39 +31,28 @@ def wrap_count(text: Column, width: int) -> Column:
 
 def parse_marked(df: DataFrame, column: str) -> DataFrame:
     """F16: spans of marked text as (k, style, text); style -1 is plain. A crossing, unknown or unclosed marker makes the text unusable (no rows)."""
-    import re
+    mark = r"(?=</?[0-9]+>)|(?<=[0-9]>)"
+    parts = F.filter(F.split(F.col(column), mark), lambda x: x != "")
+    state = "struct<open:array<int>,ok:boolean,out:array<struct<style:int,text:string>>>"
 
-    import pyarrow as pa
+    def put(open_, ok, out):
+        return F.struct(open_.alias("open"), ok.alias("ok"), out.alias("out")).cast(state)
 
+    def step(a, x):
+        number = F.regexp_extract(x, "^</?([0-9]+)>$", 1)
+        top = F.try_element_at(a["open"], F.lit(-1))
+        style = F.coalesce(top, F.lit(-1))
+        closes = F.startswith(x, F.lit("</"))
+        return (
+            F.when(number == "", put(a["open"], a["ok"], F.concat(a["out"], F.array(F.struct(style.alias("style"), x.alias("text"))))))
+            .when(closes, put(F.slice(a["open"], 1, F.greatest(F.lit(0), F.size(a["open"]) - 1)), a["ok"] & F.coalesce(top == number.try_cast("int"), F.lit(False)), a["out"]))
+            .otherwise(put(F.concat(a["open"], F.array(number.try_cast("int"))), a["ok"], a["out"]))
+        )
+
+    start = put(F.array().cast("array<int>"), F.lit(True), F.array().cast("array<struct<style:int,text:string>>"))
+    spans = F.aggregate(parts, start, step, lambda a: F.when(a["ok"] & (F.size(a["open"]) == 0), a["out"]).otherwise(F.slice(a["out"], 1, 0)))
     keys = [c for c in df.columns if c != column]
-
-    def parse(t: str | None) -> list[tuple[int, str]]:
-        out, open_ = [], []
-        for part in re.split(r"(</?[0-9]+>)", t or ""):
-            m = re.fullmatch(r"<(/?)([0-9]+)>", part)
-            if not m:
-                if part:
-                    out.append((open_[-1] if open_ else -1, part))
-            elif not m[1]:
-                open_.append(int(m[2]))
-            elif not open_ or open_.pop() != int(m[2]):
-                return []
-        return [] if open_ else out
-
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.names.index(column)
-            idx, k, style, text = [], [], [], []
-            for i, t in enumerate(batch.column(at).to_pylist()):
-                for j, (s, x) in enumerate(parse(t)):
-                    idx.append(i), k.append(j), style.append(s), text.append(x)
-            own = batch.select(keys).take(pa.array(idx, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(k, pa.int32()), pa.array(style, pa.int32()), pa.array(text, pa.string())], [*keys, "k", "style", "text"])
-
-    from pyspark.sql.types import IntegerType, StringType, StructType
-
-    schema = StructType([df.schema[c] for c in keys]).add("k", IntegerType()).add("style", IntegerType()).add("text", StringType())
-    return df.mapInArrow(run, schema)
+    return df.select(*keys, F.posexplode(spans).alias("k", "s")).select(*keys, "k", "s.style", "s.text")
 
 
 def soft_hyphens(t: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout as L
-from ..operators import segments as S
+from ..operators import pages as P
 from ..sources import html as H
-from ..sources.tables import LAY, SEG, TR, boxes, replies, segments, table
+from ..sources.tables import LAY, SEG, boxes, segments, table
 
 
 def _lay(spark, d):
@@ -62,11 +62,19 @@ SELECT a.doc_id, a.pg, a.ord, coalesce(sum(b.grow), 0)::DOUBLE AS shift, a.y1 +
   AND (least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.4::DOUBLE * least(a.x1 - a.x0, b.x1 - b.x0) OR abs(a.x0 - b.x0) <= 20) GROUP BY a.doc_id, a.pg, a.ord, a.y1"""
 
 
+def _spaced(lay):
+    """The boxes with room between them: one line in three is moved down by its number of characters."""
+    down = F.when(F.col("ord") % 3 == 0, F.length("text").cast("double")).otherwise(0.0)
+    return lay.withColumn("y0", F.col("y0") + down).withColumn("y1", F.col("y1") + down)
+
+
 def interval_gaps(spark, d):
-    return L.gaps(_lay(spark, d).where("ord % 5 < 3"), 1.0)
+    """W4."""
+    return L.gaps(_spaced(_lay(spark, d)), 1.0)
 
 
-GAPS_SQL = f"""WITH {LAY}, g AS (SELECT doc_id, pg, y0, max(y1) OVER (PARTITION BY doc_id, pg ORDER BY y0, y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM lay WHERE ord % 5 < 3)
+GAPS_SQL = f"""WITH {LAY}, m AS (SELECT doc_id, pg, ord, y0 + CASE WHEN ord % 3 = 0 THEN length(text)::DOUBLE ELSE 0 END AS y0, y1 + CASE WHEN ord % 3 = 0 THEN length(text)::DOUBLE ELSE 0 END AS y1 FROM lay),
+g AS (SELECT doc_id, pg, y0, max(y1) OVER (PARTITION BY doc_id, pg ORDER BY y0, y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m)
 SELECT doc_id, pg, max(y0 - reach) AS gap, arg_max(reach, (y0 - reach, -reach)) AS gap_from FROM g WHERE y0 - reach > 1 GROUP BY doc_id, pg"""
 
 
@@ -84,49 +92,86 @@ def paragraph_islands(spark, d):
 
 
 def xy_cut(spark, d):
-    return L.xy_cut(_lay(spark, d))
+    return P.xy_cut(_lay(spark, d))
 
 
 def table_grid(spark, d):
-    return L.table_grid(_lay(spark, d))
+    return P.table_grid(_lay(spark, d))
 
 
 def nms(spark, d):
-    return L.greedy_nms(_lay(spark, d).withColumn("score", F.length("text").cast("double")).drop("text"), 0.3)
+    """J17 over the boxes and, on every page, one that holds the first column; the score is the text's length."""
+    lay = _lay(spark, d).withColumn("score", F.length("text").cast("double")).drop("text")
+    wide = lay.where("x0 < 300").groupBy("doc_id", "pg").agg(F.lit(100000).alias("ord"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))], F.lit(1000.0).alias("score"))
+    return P.greedy_nms(lay.unionByName(wide), 0.3)
 
 
 def closure_reach(spark, d):
-    """K4."""
-    return L.closure(L.overlaps(_lay(spark, d)))
+    """K4: what the blocks at every fifth place reach over overlapping boxes."""
+    lay = _lay(spark, d)
+    return P.closure(L.overlaps(lay), lay.where("ord % 5 = 0"))
 
 
 CLOSURE_SQL = f"""WITH RECURSIVE {LAY}, {OVERLAP}, p AS (SELECT doc_id, pg, a_ord AS a, b_ord AS b FROM ov WHERE shared > 0.3::DOUBLE * small), e AS (SELECT doc_id, pg, a, b FROM p UNION ALL SELECT doc_id, pg, b, a FROM p),
-r AS (SELECT DISTINCT doc_id, pg, a AS ord, a AS label FROM e UNION SELECT e.doc_id, e.pg, e.b, r.label FROM r JOIN e ON e.doc_id = r.doc_id AND e.pg = r.pg AND e.a = r.ord)
-SELECT doc_id, pg, ord, min(label) AS label FROM r GROUP BY doc_id, pg, ord"""
+r AS (SELECT doc_id, pg, ord FROM lay WHERE ord % 5 = 0 UNION SELECT e.doc_id, e.pg, e.b FROM r JOIN e ON e.doc_id = r.doc_id AND e.pg = r.pg AND e.a = r.ord) SELECT * FROM r"""
 
 
-def alignment(spark, d):
-    """Alignment of each page's column from its edges."""
-    g = _lay(spark, d).groupBy("doc_id", "pg", "x0").agg(F.count(F.lit(1)).alias("n"), (F.max("x1") - F.min("x1")).alias("spread"))
-    return g.select("doc_id", "pg", "x0", F.when(F.col("n") < 2, "single").when(F.col("spread") <= 9, "justify").otherwise("left").alias("align"))
+def lines_to_paragraphs(spark, d):
+    """W11."""
+    return P.paragraphs(_lay(spark, d))
+
 
+def _wide_blocks(lay):
+    return lay.withColumn("block", F.floor(F.col("ord") / 6).cast("int"))
 
-def losses_by_kind(spark, d):
-    """2.11: findings L2, L6, L9, D2 of every reply, counted by language: one pass, no join."""
-    s, t = F.col("source"), F.col("target")
-    words = F.size(T.ordinary_words(s))
-    kinds = F.array_compact(F.array(
-        F.when((words >= 4) & ((t == "") | T.identical(s, t)), "L2"), F.when((t != "") & T.drops_numbers(s, t), "L6"),
-        F.when((t != "") & (F.size(T.garbled_words(s, t)) > 0), "L9"), F.when((words < 4) & (F.size(F.split(s, " ")) >= 2) & T.identical(s, t), "D2"),
-    ))
-    return replies(segments(spark, d)).select("lang", F.explode(kinds).alias("kind")).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
 
+def side_by_side(spark, d):
+    """W13 over blocks of six lines; every ninth line ends in a hyphen and its successor starts in lower case."""
+    lay = _wide_blocks(_lay(spark, d))
+    return P.side_by_side(lay.withColumn("text", F.when(F.col("ord") % 9 == 0, F.concat("text", F.lit("a-"))).when(F.col("ord") % 9 == 1, F.lower("text")).otherwise(F.col("text"))))
 
-def lossless_flag(spark, d):
-    """Documents without a finding."""
-    s, t = F.col("source"), F.col("target")
-    bad = (t == "") | T.drops_numbers(s, t) | (F.size(T.garbled_words(s, t)) > 0)
-    return replies(segments(spark, d)).groupBy("doc_id").agg(F.bool_and(~bad).alias("lossless"), F.count_if(bad).alias("losses"))
+
+def side_rows(spark, d):
+    """W14."""
+    return P.side_rows(_lay(spark, d))
+
+
+def table_cells(spark, d):
+    """W19 with a rule across the first column at y 130."""
+    lay = _lay(spark, d)
+    rules = lay.select("doc_id", "pg").distinct().select("doc_id", "pg", F.lit(40.0).alias("x0"), F.lit(130.0).alias("y0"), F.lit(300.0).alias("x1"))
+    return P.table_cells(lay, rules)
+
+
+def region_blocks(spark, d):
+    """Lines go to their region, and a region's lines make one block: its box, its lines in order; lines of no region stay blocks of their own."""
+    return _region_blocks(spark, d).select("doc_id", "pg", "block", "x0", "y0", "x1", "y1", "n", "text")
+
+
+def _region_blocks(spark, d):
+    lay = _lay(spark, d)
+    own = lay.join(L.owners(lay, _regions(spark, lay)), ["doc_id", "pg", "ord"], "left").withColumn("block", F.coalesce("region", F.col("ord") + 10))
+    g = own.groupBy("doc_id", "pg", "block").agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))], F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("l"))
+    return g.withColumn("text", F.array_join(F.transform("l", lambda x: x["text"]), " "))
+
+
+REGION_SQL = f"""WITH {LAY}, r(region, rx0, ry0, rx1, ry1) AS (VALUES (1, 40.0::DOUBLE, 50.0::DOUBLE, 300.0::DOUBLE, 700.0::DOUBLE), (2, 300, 50, 560, 700), (3, 0, 0, 600, 200)),
+o AS (SELECT doc_id, pg, ord, arg_min(region, ((rx1 - rx0) * (ry1 - ry0), region)) AS region FROM lay, r
+  WHERE greatest(0, least(x1, rx1) - greatest(x0, rx0)) * greatest(0, least(y1, ry1) - greatest(y0, ry0)) >= 0.5::DOUBLE * (x1 - x0) * (y1 - y0) GROUP BY doc_id, pg, ord)
+SELECT lay.doc_id, lay.pg, coalesce(region, lay.ord + 10)::INT AS block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n, string_agg(text, ' ' ORDER BY lay.ord) AS text
+FROM lay LEFT JOIN o ON o.doc_id = lay.doc_id AND o.pg = lay.pg AND o.ord = lay.ord GROUP BY 1, 2, 3"""
+
+
+def block_order(spark, d):
+    """The blocks of regions in reading order, cut at the page's own line height."""
+    line = _lay(spark, d).groupBy("doc_id", "pg").agg(F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("line"))
+    return P.block_order(_region_blocks(spark, d).withColumnRenamed("block", "ord").join(line, ["doc_id", "pg"]))
+
+
+def alignment(spark, d):
+    """Alignment of each page's column from its edges."""
+    g = _lay(spark, d).groupBy("doc_id", "pg", "x0").agg(F.count(F.lit(1)).alias("n"), (F.max("x1") - F.min("x1")).alias("spread"))
+    return g.select("doc_id", "pg", "x0", F.when(F.col("n") < 2, "single").when(F.col("spread") <= 9, "justify").otherwise("left").alias("align"))
 
 
 def layout_losses(spark, d):
@@ -150,18 +195,6 @@ MOVED_SQL = f"""WITH {LAY} SELECT doc_id, pg, ord FROM lay a WHERE NOT EXISTS (S
   AND abs(a.y0 - (o.y0 + CASE WHEN o.ord % 7 = 0 THEN 20 ELSE 1 END)) <= greatest(1, (a.y1 - a.y0) / 2) AND abs(a.x0 - o.x0) <= 6)"""
 
 
-def flagship(spark, d):
-    """The segment audit: flatten, replies, repeated wordings, findings, by language."""
-    tr = replies(segments(spark, d))
-    sus = S.suspicious(tr)
-    by = sus.groupBy("lang").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("source")).cast("long").alias("chars"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("missing", "copy", "numbers", "garbled")])
-    votes = S.first_of_each(tr.withColumnRenamed("source", "text"), T.share_key(F.col("text"))).where("uses >= 2").agg(F.count(F.lit(1)).alias("repeated"))
-    return by.crossJoin(F.broadcast(votes))  # one row
-
-
-FLAGSHIP_SQL = None
-
-
 def rotated_fit(spark, d):
     """Whether a run of each line's length fits its box at 30 degrees."""
     c, s = 0.8660254037844387, 0.5
@@ -221,7 +254,6 @@ def reply_decode(spark, d):
 DECODE_SQL = """SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events"""
 
 QUERIES = {
-    "segment_audit": (flagship, FLAGSHIP_SQL),
     "box_overlap": (box_overlap, f"WITH {LAY}, {OVERLAP} SELECT doc_id, pg, a_ord, b_ord, round(shared, 3) AS shared FROM ov WHERE shared > 0.3::DOUBLE * small"),
     "box_owner": (box_owner, OWNER_SQL),
     "free_below": (free_below, _free_sql("below", 80.0)),
@@ -230,13 +262,17 @@ QUERIES = {
     "interval_gaps": (interval_gaps, GAPS_SQL),
     "union_area": (union_area, UNION_SQL),
     "paragraph_islands": (paragraph_islands, None),
+    "lines_to_paragraphs": (lines_to_paragraphs, None),
+    "side_by_side": (side_by_side, None),
+    "side_rows": (side_rows, None),
+    "table_cells": (table_cells, None),
+    "region_blocks": (region_blocks, REGION_SQL),
+    "block_order": (block_order, None),
     "xy_cut": (xy_cut, None),
     "table_grid": (table_grid, None),
     "nms": (nms, None),
     "closure_reach": (closure_reach, CLOSURE_SQL),
     "infer_alignment": (alignment, f"WITH {LAY} SELECT doc_id, pg, x0, CASE WHEN count(*) < 2 THEN 'single' WHEN max(x1) - min(x1) <= 9 THEN 'justify' ELSE 'left' END AS align FROM lay GROUP BY doc_id, pg, x0"),
-    "losses_by_kind": (losses_by_kind, None),
-    "lossless_flag": (lossless_flag, None),
     "layout_losses": (layout_losses, f"WITH {LAY}, {OVERLAP}, o AS (SELECT doc_id, pg, count(*) AS l4 FROM lay WHERE x1 > 545 OR y1 > 340 GROUP BY ALL), v AS (SELECT doc_id, pg, count(*) AS l7 FROM ov WHERE shared > 0.3::DOUBLE * small GROUP BY ALL) SELECT doc_id, pg, coalesce(l4, 0) AS l4, coalesce(l7, 0) AS l7 FROM o FULL JOIN v USING (doc_id, pg)"),
     "moved_text": (moved_text, MOVED_SQL),
     "rotated_fit": (rotated_fit, ROTATED_SQL),

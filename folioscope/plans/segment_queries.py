@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segments as S
 from ..sources.tables import SEG, TR, replies, segments, table
+from .sql import JUDGED, lost_sql
 
 COLLAPSE = "trim(regexp_replace({t}, '[ \\t\\r\\n]+', ' ', 'g'))"
 KEY = "CASE WHEN len(string_split(lower(" + COLLAPSE + "), ' ')) >= 3 THEN lower(" + COLLAPSE + ") END"
@@ -84,14 +85,8 @@ def memory_upsert(spark, d):
 
 def term_candidates(spark, d):
     """Runs of one to three words counted over the corpus, ranked by count * (1 + 0.35 * spaces); the best 40."""
-    w = _seg(spark, d).select(F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ").alias("w"))
-    runs = F.flatten(F.array(*[
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), S.word_run(n))).otherwise(F.array().cast("array<string>"))
-        for n in (1, 2, 3)
-    ]))
     stop = sorted({x for ws in T.FUNCTION_WORDS.values() for x in ws})
-    t = w.select(F.explode(runs).alias("phrase")).where(~F.lower(F.split_part("phrase", F.lit(" "), F.lit(1))).isin(*stop) & ~F.lower(F.split_part("phrase", F.lit(" "), F.lit(-1))).isin(*stop) & (F.length("phrase") >= 4))
-    g = t.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    g = S.phrases(_seg(spark, d), stop).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     g = g.withColumn("score", F.round(F.col("n") * (1 + 0.35 * (F.size(F.split("phrase", " ")) - 1)), 4))
     return g.orderBy(F.desc("score"), F.desc(F.length("phrase")), F.desc("phrase")).limit(40)
 
@@ -130,21 +125,24 @@ def repeat_vote(spark, d):
     return S.vote(_tr(spark, d))
 
 
-VOTE_SQL = f"""WITH {TR}, t AS (SELECT *, {KEY.format(t='source')} AS key, {COLLAPSE.format(t='target')} AS variant FROM tr WHERE target <> ''),
-sd AS (SELECT doc_id, ord, g, count(*) AS n FROM (SELECT doc_id, ord, unnest(regexp_extract_all(source, '[0-9]+')) AS g FROM t) GROUP BY ALL),
-td AS (SELECT doc_id, ord, g, count(*) AS n FROM (SELECT doc_id, ord, unnest(regexp_extract_all(target, '[0-9]+')) AS g FROM t) GROUP BY ALL),
-lost AS (SELECT DISTINCT sd.doc_id, sd.ord FROM sd LEFT JOIN td USING (doc_id, ord, g) WHERE coalesce(td.n, 0) < sd.n),
+VOTE_SQL = f"""WITH {TR}, t AS (SELECT *, {KEY.format(t='source')} AS key, {COLLAPSE.format(t='target')} AS variant FROM tr WHERE target <> ''), {lost_sql('t')},
 v AS (SELECT key, variant, count(*) AS n, min((t.doc_id, t.ord)) AS f, min((lost.doc_id IS NULL)::INT) AS keeps FROM t LEFT JOIN lost ON lost.doc_id = t.doc_id AND lost.ord = t.ord WHERE key IS NOT NULL GROUP BY key, variant),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY keeps DESC, n DESC, f, variant DESC) AS k, count(*) OVER (PARTITION BY key) AS variants, sum(n) OVER (PARTITION BY key) AS uses FROM v)
 SELECT key, variants, uses::BIGINT AS uses, variant AS winner, n AS winner_uses FROM r WHERE k = 1 AND variants >= 2"""
 
 
+FLAGS = ["missing", "identical", "copy", "numbers", "garbled", "runaway"]
+
+
 def retry_selection(spark, d):
     """How many replies each reason rejects, and how many are accepted."""
     s = S.suspicious(_tr(spark, d))
-    flags = ["missing", "identical", "copy", "numbers", "garbled", "runaway"]
-    bad = F.greatest(*[F.col(f).cast("int") for f in flags])
-    return s.groupBy("lang").agg(*[F.sum(F.col(f).cast("long")).alias(f) for f in flags], F.sum((1 - bad).cast("long")).alias("accepted"))
+    bad = F.greatest(*[F.col(f).cast("int") for f in FLAGS])
+    return s.groupBy("lang").agg(*[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS], F.sum((1 - bad).cast("long")).alias("accepted"))
+
+
+RETRY_SQL = f"""WITH {JUDGED}, f AS (SELECT *, NOT missing AND length(target) > 2 * length(source) AND length(source) >= 20 AS runaway FROM judged)
+SELECT lang, {", ".join(f"sum({f}::BIGINT)::BIGINT AS {f}" for f in FLAGS)}, sum((NOT ({" OR ".join(FLAGS)}))::BIGINT)::BIGINT AS accepted FROM f GROUP BY lang"""
 
 
 def untranslated(spark, d):
@@ -259,11 +257,18 @@ def cube_lineitem(spark, d):
 
 
 def even_sample(spark, d):
-    """20 evenly spaced segments of each language among those with 30 characters."""
-    w = Window.partitionBy("lang")
-    s = _seg(spark, d).where(F.length("text") >= 30).withColumn("i", F.row_number().over(w.orderBy("doc_id", "ord")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    """20 evenly spaced segments of each language among those with 30 characters.
+
+    Ranks come from counts of id ranges: a range's rows are ranked in its own task, and the ranges before it add their counts, so no
+    task sorts a whole language."""
+    s = _seg(spark, d).where(F.length("text") >= 30).select("lang", "doc_id", "ord").withColumn("part", F.floor(F.col("doc_id") / 64))
+    per = s.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("lang").orderBy("part")
+    base = per.select("lang", "part", (F.sum("c").over(w) - F.col("c")).alias("base"), F.sum("c").over(Window.partitionBy("lang")).alias("n"))
+    i = F.col("base") + F.row_number().over(Window.partitionBy("lang", "part").orderBy("doc_id", "ord")) - 1
+    t = s.join(base, ["lang", "part"]).withColumn("i", i)
     # i is one of floor(k * n / 20) for k in 0..19
-    return s.where((F.col("n") <= 20) | (F.floor(F.ceil(F.col("i") * 20 / F.col("n")) * F.col("n") / 20) == F.col("i")) & (F.ceil(F.col("i") * 20 / F.col("n")) < 20)).select("lang", "doc_id", "ord")
+    return t.where((F.col("n") <= 20) | (F.floor(F.ceil(F.col("i") * 20 / F.col("n")) * F.col("n") / 20) == F.col("i")) & (F.ceil(F.col("i") * 20 / F.col("n")) < 20)).select("lang", "doc_id", "ord")
 
 
 def score_summary(spark, d):
@@ -363,7 +368,7 @@ QUERIES = {
     "glossary_merge": (glossary_merge, "WITH a AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS k FROM part), u AS (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer) SELECT k, 'auto' AS origin FROM a WHERE k NOT IN (SELECT k FROM u) UNION ALL SELECT k, 'user' FROM u"),
     "repeat_groups": (repeat_groups, f"WITH {SEG}, k AS (SELECT {KEY.format(t='text')} AS key FROM seg) SELECT key, count(*) AS uses FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) >= 2"),
     "repeat_vote": (repeat_vote, VOTE_SQL),
-    "retry_selection": (retry_selection, None),
+    "retry_selection": (retry_selection, RETRY_SQL),
     "untranslated": (untranslated, UNTRANSLATED_SQL),
     "context_windows": (context_windows, CONTEXT_SQL),
     "section_state": (section_state, f"WITH {SEG} SELECT doc_id, ord, coalesce(last_value(CASE WHEN length(text) <= 12 THEN 1 WHEN length(text) BETWEEN 13 AND 25 THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS inside FROM seg"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import PAIRS, SEG, TR, chat_pairs, replies, segments, table
+from ..sources.tables import PAIRS, SEG, TR, chat_pairs, replies, segments, spread, table
+from .sql import GARBLED, joined, lost_sql, numbers, spelled_sql, wrong_sql
 
 CODE = r"[A-Za-z_]+\(|[a-z]+_[a-z]+|[{};]|=|#|\$|%"
 
@@ -40,10 +41,6 @@ def role_histogram(spark, d):
     return _seg(spark, d).groupBy(role.alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def data_only(spark, d):
-    return _seg(spark, d).where(T.is_data_only(F.col("text"))).select("doc_id", "ord", "text")
-
-
 def checked_blocks(spark, d):
     return _seg(spark, d).groupBy("lang").agg(F.sum(T.is_checked(F.col("text")).cast("long")).alias("checked"), F.count(F.lit(1)).alias("n"))
 
@@ -102,25 +99,77 @@ ORDINARY = """array_to_string(list_filter(list_transform(string_split_regex(rege
 
 
 def digit_groups(spark, d):
-    return replies(_seg(spark, d)).select("doc_id", "ord", F.array_join(T.digit_groups(F.col("source")), ",").alias("groups")).where("groups <> ''")
+    """F7 after F8, with a fraction glyph on every fifth line."""
+    return _fractions(spark, d).select("doc_id", "ord", F.array_join(T.numbers_needed(F.col("t")), ",").alias("groups")).where("groups <> ''")
+
+
+def _fractions(spark, d):
+    t = F.when(F.col("ord") % 5 == 0, F.concat("source", F.lit(" 1½ <2>⅞</2>"))).otherwise(F.col("source"))
+    return replies(_seg(spark, d)).select("doc_id", "ord", t.alias("t"))
+
+
+FRACTIONS_SQL = f"""WITH {TR}, t AS (SELECT doc_id, ord, CASE WHEN ord % 5 = 0 THEN source || ' 1½ <2>⅞</2>' ELSE source END AS t FROM tr)
+SELECT * FROM (SELECT doc_id, ord, array_to_string({numbers('t')}, ',') AS groups FROM t) WHERE groups <> ''"""
+
+
+def _figures(spark, d):
+    """Lines with a large number that is grouped with either separator, a decimal and a section number."""
+    n = F.format_number(F.col("doc_id") * 7919 + F.col("ord") * 13 + 5, 0)
+    grouped = F.when(F.col("ord") % 2 == 0, n).otherwise(F.replace(n, F.lit(","), F.lit(".")))
+    return _seg(spark, d).select("doc_id", "ord", "lang", "text", F.concat("text", F.lit(" "), grouped, F.lit(", 3.14 and 5.2.1")).alias("source"))
+
+
+FIGURES = SEG + """, figs AS (SELECT doc_id, ord, lang, text, text || ' ' || CASE WHEN ord % 2 = 0 THEN format('{:,}', doc_id * 7919 + ord * 13 + 5) ELSE replace(format('{:,}', doc_id * 7919 + ord * 13 + 5), ',', '.') END || ', 3.14 and 5.2.1' AS source FROM seg)"""
+
+
+def joined_thousands(spark, d):
+    """F8."""
+    return _figures(spark, d).select("doc_id", "ord", T.joined_thousands(F.col("source")).alias("joined"))
+
+
+JOINED_SQL = f"""WITH {FIGURES}, p AS (SELECT doc_id, ord, string_split_regex(source, '{T.NUMBER}') AS p, list_transform(regexp_extract_all(source, '({T.NUMBER})', 1), lambda r: {joined('r')}) AS r FROM figs)
+SELECT doc_id, ord, array_to_string(flatten(list_transform(list_zip(p, r), lambda x: [x[1], coalesce(x[2], '')])), '') AS joined FROM p"""
 
 
 def drops_numbers(spark, d):
-    """F10/O10/L6."""
-    return replies(_seg(spark, d)).where((F.col("target") != "") & T.drops_numbers(F.col("source"), F.col("target"))).select("doc_id", "ord")
+    """F10/O10/L6 on the replies."""
+    return replies(_seg(spark, d)).where((F.col("target") != "") & T.drops_numbers(F.col("source"), F.col("target"), F.lit("xx"))).select("doc_id", "ord")
+
+
+def _spelled(spark, d):
+    """Sources with a grouped number and a small one; replies write the first without separators and the second in words, in digits, wrong or not at all."""
+    small = F.col("ord") % 11
+    word = F.coalesce(*[F.when(F.col("lang") == lg, F.get(F.array(*[F.lit(w) for w in T.CARDINALS[lg].split()]), small.cast("int"))) for lg in T.FUNCTION_WORDS])
+    k = (F.col("doc_id") + F.col("ord")) % 4
+    ending = F.when(k == 0, word).when(k == 1, small.cast("string")).when(k == 2, (small + 1).cast("string")).otherwise("")
+    big = (F.col("doc_id") * 7919 + F.col("ord") * 13 + 5).cast("string")
+    return _figures(spark, d).select("doc_id", "ord", "lang", F.concat("source", F.lit(" ("), small.cast("string"), F.lit(")")).alias("source"), F.concat("text", F.lit(" "), big, F.lit(", 3,14; 5.2.1 ("), ending, F.lit(")")).alias("target"))
+
+
+def drops_spelled(spark, d):
+    """F8, F9 and F10 together: numbers that the reply has neither in digits nor in its language's words."""
+    return _spelled(spark, d).where(T.drops_numbers(F.col("source"), F.col("target"), F.col("lang"))).select("doc_id", "ord")
+
+
+_WORD = "CASE lang " + " ".join(f"WHEN '{lg}' THEN [{_list(T.CARDINALS[lg].split())}][ord % 11 + 1]" for lg in T.FUNCTION_WORDS) + " END"
+SPELLED_TABLE = f"""{FIGURES}, sp AS (SELECT doc_id, ord, lang, source || ' (' || (ord % 11)::VARCHAR || ')' AS source, text || ' ' || (doc_id * 7919 + ord * 13 + 5)::VARCHAR || ', 3,14; 5.2.1 (' ||
+  CASE (doc_id + ord) % 4 WHEN 0 THEN {_WORD} WHEN 1 THEN (ord % 11)::VARCHAR WHEN 2 THEN (ord % 11 + 1)::VARCHAR ELSE '' END || ')' AS target FROM figs)"""
+DROPS_SPELLED_SQL = f"WITH {SPELLED_TABLE}, {spelled_sql('sp', 'target')}, {lost_sql('sp', ' UNION ALL SELECT doc_id, ord, value::VARCHAR FROM spelled')} SELECT * FROM lost"
 
 
 def spelled_numbers(spark, d):
-    """F9 over sentences that spell order numbers."""
-    small, big = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"], ["twenty", "thirty", "forty", "fifty"]
-    pick = lambda ws, e: F.element_at(F.array(*[F.lit(w) for w in ws]), (e % len(ws) + 1).cast("int"))
-    k = F.col("o_orderkey")
-    words = F.array(pick(small, k), F.lit("hundred"), pick(big, k), pick(small, k + 3), F.lit("and"), pick(small, k + 1), F.lit("thousand"), pick(big, k + 1))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(T.spelled_numbers(words), ",").alias("numbers"))
+    """F9 over the lines of the corpus, each with a spelled number of its own at the end."""
+    lines = _spelled(spark, d).select("doc_id", "ord", "lang", F.concat("target", F.coalesce(*[F.when(F.col("lang") == lg, F.lit(x)) for lg, x in LARGE.items()])).alias("t"))
+    return lines.select("doc_id", "ord", F.array_join(T.spelled_numbers(F.col("t"), F.col("lang")), ",").alias("numbers")).where("numbers <> ''")
 
 
-SPELLED_SQL = """SELECT o_orderkey, CAST(100 * (o_orderkey % 9 + 1) + 10 * (o_orderkey % 4 + 2) + ((o_orderkey + 3) % 9 + 1) AS BIGINT)::VARCHAR || ',' ||
-  CAST(1000 * ((o_orderkey + 1) % 9 + 1) + 10 * ((o_orderkey + 1) % 4 + 2) AS BIGINT)::VARCHAR AS numbers FROM orders"""
+#: Spelled numbers with hundreds and thousands; another word ends each.
+LARGE = {
+    "en": " two thousand five hundred twenty one, thousand; nineteen hundred seven and third", "de": " zweitausend fünfhundert einundzwanzig, tausend; neunzehn hundert sieben und dritte",
+    "fr": " deux mille cinq cent vingt, mille; trois cent sept et troisième", "es": " dos mil quinientos, mil cien veintiuno; tres mil cien siete y tercero",
+}
+SPELLED_SQL = f"""WITH {SPELLED_TABLE}, big AS (SELECT doc_id, ord, lang, target || CASE lang {" ".join(f"WHEN '{lg}' THEN '{x}'" for lg, x in LARGE.items())} END AS t FROM sp), {spelled_sql('big', 't')}
+SELECT doc_id, ord, string_agg(value::VARCHAR, ',' ORDER BY run) AS numbers FROM spelled GROUP BY doc_id, ord"""
 
 
 def predicates(spark, d):
@@ -156,14 +205,22 @@ WHERE len(p) BETWEEN 2 AND 12 AND len(list_filter(p, lambda x: len(string_split_
 
 
 def even_leaders(spark, d):
+    """F22."""
     t = F.concat(F.substring("text", 1, 20), F.repeat(F.lit("."), (F.col("ord") % 9 + 1).cast("int")), F.col("ord").cast("string"))
-    s = _seg(spark, d).select("doc_id", "ord", t.alias("t"))
-    return s.select("doc_id", "ord", F.length(T.even_leaders(F.col("t"), F.lit(40))).cast("long").alias("n"))
+    return _seg(spark, d).select("doc_id", "ord", T.even_leaders(t, F.lit(40)).alias("line"))
 
 
 def leading_label(spark, d):
-    src = F.concat((F.col("ord") + 1).cast("string"), F.lit(") "), F.col("text"))
-    return _seg(spark, d).where("ord < 9").select("doc_id", "ord", T.with_leading_label(src, F.when(F.col("ord") % 2 == 0, F.col("text")).otherwise(src)).alias("fixed"))
+    """labels of several forms on every line; replies keep them, lose them or have another."""
+    n, k = F.col("ord") % 100, F.col("ord") % 5
+    mark = F.when(k == 0, F.concat((n + 1).cast("string"), F.lit(") "))).when(k == 1, F.concat(F.lit("("), n.cast("string"), F.lit(") "))).when(k == 2, F.lit("- ")).when(k == 3, F.lit("• ")).otherwise("")
+    src = F.concat(mark, F.col("text"))
+    return _seg(spark, d).select("doc_id", "ord", T.with_leading_label(src, F.when((F.col("doc_id") + F.col("ord")) % 2 == 0, F.col("text")).otherwise(src)).alias("fixed"))
+
+
+LABEL_SQL = f"""WITH {SEG}, s AS (SELECT doc_id, ord, text, CASE ord % 5 WHEN 0 THEN (ord % 100 + 1)::VARCHAR || ') ' WHEN 1 THEN '(' || (ord % 100)::VARCHAR || ') ' WHEN 2 THEN '- ' WHEN 3 THEN '• ' ELSE '' END || text AS src FROM seg),
+r AS (SELECT *, CASE WHEN (doc_id + ord) % 2 = 0 THEN text ELSE src END AS reply, regexp_extract(src, '^(\\(?[0-9a-z]{{1,3}}[.)]|[-*•]) ', 1) AS label FROM s)
+SELECT doc_id, ord, CASE WHEN label <> '' AND NOT starts_with(reply, label) THEN label || ' ' || reply ELSE reply END AS fixed FROM r"""
 
 
 def protect_roundtrip(spark, d):
@@ -193,9 +250,9 @@ SELECT conv_id, turn, ns <> '' AND ns = nt AS same, len(list_intersect(list_dist
 
 def language_guess(spark, d):
     """Hits of function words by language; the most hits win, ties go to the first in order."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    hits = [F.struct(F.size(T.function_word_hits(t, lg)).alias("n"), F.lit(-i).alias("i"), F.lit(lg).alias("lang")) for i, lg in enumerate(T.FUNCTION_WORDS)]
-    return table(spark, d, "documents").select("doc_id", F.array_max(F.array(*hits)).alias("b")).select("doc_id", F.when(F.col("b.n") > 0, F.col("b.lang")).alias("guess"), F.col("b.n").cast("long").alias("hits"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.function_words_in(F.coalesce("text", F.lit(""))).alias("f"))
+    hits = [F.struct(T.hits_of(F.col("f"), lg).alias("n"), F.lit(-i).alias("i"), F.lit(lg).alias("lang")) for i, lg in enumerate(T.FUNCTION_WORDS)]
+    return docs.select("doc_id", F.array_max(F.array(*hits)).alias("b")).select("doc_id", F.when(F.col("b.n") > 0, F.col("b.lang")).alias("guess"), F.col("b.n").cast("long").alias("hits"))
 
 
 def _guess_sql() -> str:
@@ -207,32 +264,9 @@ def _guess_sql() -> str:
 
 
 def wrong_language(spark, d):
-    """six words or more, two distinct foreign function words or more that the own language lacks, their share at least 0.12 and above the own share."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    s = _seg(spark, d).select("doc_id", "ord", "lang", words.alias("w")).where("size(w) >= 6")
-    own = F.coalesce(*[F.when(F.col("lang") == lg, F.size(F.filter("w", _among(ws)))) for lg, ws in T.FUNCTION_WORDS.items()])
-    foreign = []
-    for lg, ws in T.FUNCTION_WORDS.items():
-        for own_lg, own_ws in T.FUNCTION_WORDS.items():
-            if lg != own_lg:
-                only = [x for x in ws if x not in own_ws]
-                hits = F.filter("w", _among(only))
-                foreign.append(F.when((F.col("lang") == own_lg) & (F.size(F.array_distinct(hits)) >= 2), F.size(hits)))
-    return s.withColumn("own", own).withColumn("foreign", F.greatest(*foreign)).where("foreign / size(w) >= 0.12 and foreign > own").select("doc_id", "ord", F.col("foreign").cast("long").alias("hits"))
-
-
-def _wrong_sql() -> str:
-    own = " ".join(f"WHEN lang = '{lg}' THEN len(list_filter(w, lambda x: x IN ({_list(ws)})))" for lg, ws in T.FUNCTION_WORDS.items())
-    foreign = []
-    for lg, ws in T.FUNCTION_WORDS.items():
-        for own_lg, own_ws in T.FUNCTION_WORDS.items():
-            if lg != own_lg:
-                only = _list([x for x in ws if x not in own_ws])
-                h = f"list_filter(w, lambda x: x IN ({only}))"
-                foreign.append(f"CASE WHEN lang = '{own_lg}' AND len(list_distinct({h})) >= 2 THEN len({h}) END")
-    return f"""WITH {SEG}, w AS (SELECT doc_id, ord, lang, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM seg),
-h AS (SELECT doc_id, ord, len(w) AS n, CASE {own} END AS own, greatest({', '.join(foreign)}) AS f FROM w WHERE len(w) >= 6)
-SELECT doc_id, ord, f::BIGINT AS hits FROM h WHERE f / n >= 0.12 AND f > own"""
+    """F11 on the lines of the corpus against the language of their document."""
+    s = _seg(spark, d).where(T.wrong_language(F.col("text"), F.col("lang")))
+    return s.select("doc_id", "ord", T.foreign_hits(T.function_words_in(F.col("text")), F.col("lang")).cast("long").alias("hits"))
 
 
 def garbled(spark, d):
@@ -241,11 +275,7 @@ def garbled(spark, d):
     return replies(_seg(spark, d)).select("doc_id", "ord", F.array_join(g, " ").alias("words")).where("words <> ''")
 
 
-GARBLED_SQL = f"""WITH {TR}, w AS (SELECT doc_id, ord, source, unnest(string_split_regex(target, '[ \\t\\r\\n]+')) AS w, generate_subscripts(string_split_regex(target, '[ \\t\\r\\n]+'), 1) AS i FROM tr),
-f AS (SELECT *, regexp_matches(w, '\\p{{Latin}}') AS l, regexp_matches(w, '\\p{{Cyrillic}}') AS c, regexp_matches(w, '\\p{{Greek}}') AS g FROM w)
-SELECT doc_id, ord, string_agg(w, ' ' ORDER BY i) AS words FROM f
-WHERE l::INT + c::INT + g::INT >= 2 AND ((l AND NOT regexp_matches(source, '\\p{{Latin}}')) OR (c AND NOT regexp_matches(source, '\\p{{Cyrillic}}')) OR (g AND NOT regexp_matches(source, '\\p{{Greek}}')))
-GROUP BY doc_id, ord"""
+GARBLED_SQL = f"WITH {TR}, {GARBLED} SELECT * FROM mixed"
 
 
 def codes_and_fonts(spark, d):
@@ -257,7 +287,9 @@ def codes_and_fonts(spark, d):
     return p.select("p_partkey", T.font_class(F.element_at(names, i)).alias("font"), T.lang_code(F.element_at(codes, i)).alias("code"))
 
 
-CODES_SQL = """SELECT p_partkey, ['monospace', 'serif', 'sans', 'script', 'unknown', 'monospace'][p_partkey % 6 + 1] AS font, ['en', 'de', '', 'pt', '', 'fr'][p_partkey % 6 + 1] AS code FROM part"""
+CODES_SQL = """WITH p AS (SELECT p_partkey, lower(regexp_replace(['ABCDEF+Courier-Bold', 'Times New Roman', 'XYZABC+Helvetica', 'BrushScript', 'Unknown', 'DejaVuSansMono'][p_partkey % 6 + 1], '^([A-Z]{6}\\+)+', '')) AS n, ['en-US', 'DE', 'auto', 'pt_BR', '', 'fr'][p_partkey % 6 + 1] AS c FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(n, 'mono|courier|consol|typewriter') THEN 'monospace' WHEN regexp_matches(n, 'script|hand|brush') THEN 'script' WHEN regexp_matches(n, 'sans|arial|helvet|verdana|calibri') THEN 'sans'
+  WHEN regexp_matches(n, 'serif|times|roman|georgia|garamond') THEN 'serif' ELSE 'unknown' END AS font, CASE lower(split_part(replace(c, '_', '-'), '-', 1)) WHEN 'auto' THEN '' ELSE lower(split_part(replace(c, '_', '-'), '-', 1)) END AS code FROM p"""
 
 NORM = "lower(trim(regexp_replace({t}, '[ \\t\\r\\n]+', ' ', 'g')))"
 
@@ -266,7 +298,6 @@ QUERIES = {
     "job_estimate": (job_estimate, f"WITH {SEG}, g AS (SELECT lang, count(*) AS segments, sum(length(text))::BIGINT AS chars FROM seg GROUP BY lang) SELECT lang, segments, chars, round_even(chars / CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'de' THEN 3.5::DOUBLE ELSE 3.75::DOUBLE END, 0)::BIGINT AS tokens_in, round_even(chars * 0.931::DOUBLE / 2.5::DOUBLE, 0)::BIGINT AS tokens_out FROM g"),
     "role_histogram": (role_histogram, f"""WITH {SEG} SELECT CASE WHEN trim(regexp_replace(regexp_replace(lower(text), '^[0-9ivx.]+[ )]+', ''), '[:.]+$', '')) IN ({_list(T.HEADINGS)}) THEN 'bibliography' WHEN NOT regexp_matches(text, '\\p{{L}}') THEN 'data'
         WHEN len(string_split_regex(trim(text), ' +')) <= 8 AND regexp_matches(text, '[=+*/<>^|]') AND NOT regexp_matches(text, '[.!?]$') THEN 'formula' WHEN length(text) <= 40 THEN 'label' ELSE 'body' END AS role, count(*) AS n FROM seg GROUP BY 1"""),
-    "data_only": (data_only, f"WITH {SEG} SELECT doc_id, ord, text FROM seg WHERE NOT regexp_matches(text, '\\p{{L}}')"),
     "checked_blocks": (checked_blocks, f"WITH {SEG} SELECT lang, sum((regexp_matches(text, '\\p{{L}}') AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text) >= 0.3)::BIGINT)::BIGINT AS checked, count(*) AS n FROM seg GROUP BY lang"),
     "page_range_parse": (page_range_parse, f"WITH {PAGES_SQL} SELECT * FROM pages"),
     "page_range_format": (page_range_format, f"""WITH {PAGES_SQL}, i AS (SELECT o_orderkey, min(page) AS a, max(page) AS b FROM (SELECT *, page - row_number() OVER (PARTITION BY o_orderkey ORDER BY page) AS g FROM pages) GROUP BY o_orderkey, g)
@@ -274,21 +305,22 @@ QUERIES = {
     "scalar_text": (scalar_text, SCALAR_SQL),
     "content_words": (content_words, f"WITH {SEG} SELECT doc_id, ord, len(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')))::BIGINT AS n FROM seg"),
     "ordinary_words": (ordinary_words, f"WITH {SEG} SELECT doc_id, ord, {ORDINARY.format(t='text')} AS words FROM seg"),
-    "digit_groups": (digit_groups, f"WITH {TR} SELECT * FROM (SELECT doc_id, ord, array_to_string(regexp_extract_all(source, '[0-9]+'), ',') AS groups FROM tr) WHERE groups <> ''"),
-    "drops_numbers": (drops_numbers, f"""WITH {TR}, s AS (SELECT doc_id, ord, g, count(*) AS n FROM (SELECT doc_id, ord, unnest(regexp_extract_all(source, '[0-9]+')) AS g FROM tr WHERE target <> '') GROUP BY ALL),
-        t AS (SELECT doc_id, ord, g, count(*) AS n FROM (SELECT doc_id, ord, unnest(regexp_extract_all(target, '[0-9]+')) AS g FROM tr) GROUP BY ALL) SELECT DISTINCT s.doc_id, s.ord FROM s LEFT JOIN t USING (doc_id, ord, g) WHERE coalesce(t.n, 0) < s.n"""),
+    "digit_groups": (digit_groups, FRACTIONS_SQL),
+    "joined_thousands": (joined_thousands, JOINED_SQL),
+    "drops_numbers": (drops_numbers, f"WITH {TR}, {lost_sql('tr')} SELECT lost.* FROM lost JOIN tr USING (doc_id, ord) WHERE target <> ''"),
+    "drops_spelled": (drops_spelled, DROPS_SPELLED_SQL),
     "spelled_numbers": (spelled_numbers, SPELLED_SQL),
     "predicates": (predicates, PREDICATES_SQL),
     "pieces": (pieces, PIECES_SQL),
     "even_leaders": (even_leaders, f"""WITH {SEG}, t AS (SELECT doc_id, ord, substr(text, 1, 20) || repeat('.', ord % 9 + 1) || ord::VARCHAR AS t FROM seg),
         p AS (SELECT *, regexp_extract(t, '^(.*?)\\.{{3,}}(.*)$', 1) AS a, regexp_extract(t, '^(.*?)\\.{{3,}}(.*)$', 2) AS b FROM t)
-        SELECT doc_id, ord, (CASE WHEN regexp_matches(t, '\\.{{3,}}') THEN length(a) + greatest(3, 40 - length(a) - length(b)) + length(b) ELSE length(t) END)::BIGINT AS n FROM p"""),
-    "leading_label": (leading_label, f"WITH {SEG} SELECT doc_id, ord, (ord + 1)::VARCHAR || ') ' || text AS fixed FROM seg WHERE ord < 9"),
+        SELECT doc_id, ord, CASE WHEN regexp_matches(t, '\\.{{3,}}') THEN a || repeat('.', greatest(3, 40 - length(a) - length(b))) || b ELSE t END AS line FROM p"""),
+    "leading_label": (leading_label, LABEL_SQL),
     "protect_roundtrip": (protect_roundtrip, None),
     "literal_kinds": (literal_kinds, None),
     "copies": (copies, COPIES_SQL),
     "language_guess": (language_guess, _guess_sql()),
-    "wrong_language": (wrong_language, _wrong_sql()),
+    "wrong_language": (wrong_language, f"WITH {SEG}, {wrong_sql('seg', 'text')} SELECT * FROM wrong"),
     "garbled": (garbled, GARBLED_SQL),
     "codes_and_fonts": (codes_and_fonts, CODES_SQL),
 }

@@ -10,9 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the file gives fewer splits than there are cores (one large row group, say); otherwise unchanged, so
+    large inputs are never shuffled here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, lang, ord, text: the non-blank lines of each document in reading order (ord: 0-based position in the text)."""
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    lines = spread(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     return lines.select("doc_id", "lang", "ord", F.trim("line").alias("text")).where("text <> ''")
 
 
@@ -51,12 +58,12 @@ TR = SEG + """, src AS (
 )"""
 
 
-def boxes(seg: DataFrame) -> DataFrame:
-    """Boxes of a two-column layout derived from the lines: 40 lines a page."""
+def boxes(seg: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Boxes of a two-column layout derived from the lines: 40 lines a page; other columns come along if named."""
     n = F.length("text")
-    t = seg.select("doc_id", F.floor(F.col("ord") / 40).cast("int").alias("pg"), "ord", "text", n.cast("int").alias("len"))
+    t = seg.select("doc_id", *(carry or []), F.floor(F.col("ord") / 40).cast("int").alias("pg"), "ord", "text", n.cast("int").alias("len"))
     t = t.withColumn("x0", 50 + 260.0 * (F.col("ord") % 2)).withColumn("y0", 60 + 14.0 * F.floor((F.col("ord") % 40) / 2))
-    return t.withColumn("x1", F.col("x0") + F.least(F.lit(240.0), 5.0 * F.col("len"))).withColumn("y1", F.col("y0") + 12.0 * F.ceil(F.col("len") / 48)).select("doc_id", "pg", "ord", "text", "x0", "y0", "x1", "y1")
+    return t.withColumn("x1", F.col("x0") + F.least(F.lit(240.0), 5.0 * F.col("len"))).withColumn("y1", F.col("y0") + 12.0 * F.ceil(F.col("len") / 48)).select("doc_id", "pg", "ord", "text", "x0", "y0", "x1", "y1", *(carry or []))
 
 
 LAY = SEG + """, lay AS (

@@ -37,3 +37,25 @@ def test_duplicates_go_within_the_watermark(spark, sf, tmp_path):
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     assert run(P.deduplicated(P.read_events(spark, path + "2", 100)), tmp_path, "append").count() == spark.read.parquet(path).count()
+
+
+def test_memory_grows_and_a_restart_reads_new_files_only(spark, tmp_path):
+    """Two runs of the same query; the second one goes on from the checkpoint."""
+    import datetime as dt
+
+    path, folder = str(tmp_path / "replies"), str(tmp_path / "memory")
+    put = lambda *rows: spark.createDataFrame([(k, t, dt.datetime(2024, 1, 1, h)) for k, t, h in rows], "key string, target string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+
+    def go():
+        stream = spark.readStream.schema("key string, target string, ts timestamp").parquet(path)
+        q = P.grow_memory(stream, folder, "1000 days").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    put(("a", "old", 1), ("b", "b", 1), ("a", "old", 2))
+    go()
+    put(("a", "new", 3), ("c", "c", 2))
+    q = go()
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 2
+    assert sorted((r.key, r.target) for r in P.memory_at(spark, folder).collect()) == [("a", "new"), ("b", "b"), ("c", "c")]
+    assert P.memory_at(spark, str(tmp_path / "none")) is None

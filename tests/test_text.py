@@ -30,14 +30,31 @@ def test_numbers(spark, s, t, lost):
     assert both(spark, T.drops_numbers, s, t) is lost
 
 
-def test_spelled_numbers(spark):
-    words = F.split(F.lit("two thousand three hundred five and vingt un"), " ")
-    assert value(spark, T.spelled_numbers(words)) == [2305, 21]
+@pytest.mark.parametrize("lang,t,found", [
+    ("en", "two thousand three hundred five and one", [2305, 1]), ("en-GB", "the third of nineteen", [3, 19]), ("de", "zweitausend fünfhundert, dreizehn und siebenundvierzig", [2513, 47]),
+    ("fr", "deux mille cinq cent vingt", [2520]), ("es", "cien, veintidós y tercero", [122, 3]), ("tr", "on iki", [12]), ("xx", "one two", []), ("en", "nothing", []), ("en", "zero", [0]), ("en", "hundred", [100]),
+])
+def test_spelled_numbers(spark, lang, t, found):
+    assert value(spark, T.spelled_numbers(F.col("t"), F.col("l")), t=t, l=lang) == found
+
+
+@pytest.mark.parametrize("lang,s,t,lost", [
+    ("de", "page 12", "Seite zwölf", False), ("de", "page 12", "Seite elf", True), ("en", "2,500 items", "2500 items", False), ("en", "2.500", "two thousand five hundred", False), ("en", "1/2 cup", "½ cup", False),
+    ("en", "5.2.1 and 5", "5.2.1", True), ("fr", "the 1st", "le premier", False), ("en", "3,657", "3.657", False),
+])
+def test_numbers_in_words(spark, lang, s, t, lost):
+    assert value(spark, T.drops_numbers(F.col("s"), F.col("t"), F.col("l")), s=s, t=t, l=lang) is lost
+
+
+def test_wrong_language(spark):
+    own, other = "the end of the story is not that it was", "die Frau und der Mann mit dem Hund"
+    judge = lambda t, lang: value(spark, T.wrong_language(F.col("t"), F.col("l")), t=t, l=lang)
+    assert judge(other, "en") and not judge(own, "en") and judge(own, "de") and not judge(other, "xx") and not judge("die Frau", "en")
 
 
 def test_thousands(spark):
     assert one(spark, T.joined_thousands, "1,234,567 and 12.345") == "1234567 and 12345"
-    assert one(spark, T.joined_thousands, "3.14 and 1,23") == "3.14 and 1,23"
+    assert one(spark, T.joined_thousands, "3.14 and 1,23, 5.2.1, 12.500.") == "3.14 and 1,23, 5.2.1, 12500."
 
 
 def test_garbled(spark):
