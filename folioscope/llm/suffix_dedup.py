@@ -1,12 +1,12 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept at minimiser positions of the words, which depend on content alone, so equal passages keep equal
-suffixes. They are sorted by a hash of their first block of words, then by codes of the words before and after it; a
-neighbour in the order that shares the block, but not the document, names a match. Matches that meet in a document
-form a run. The matches at both ends of a run are extended left and right along the neighbour's words, which proves a
-passage word by word. Windows of a run that no such passage holds are open: they may be shared with a document that is
-no neighbour. Their hashes are looked up among the windows of all documents. So each suffix meets one neighbour, each run
-two texts, and work is linear in a passage's copies.
+suffixes. They are sorted by a hash of their first block of words, then by document; a neighbour in the order that shares
+the block, but not the document, is a match. Matches of a document with the same neighbour at the same distance that meet
+form a chain, which proves a passage; all matches that meet form a run. Runs are extended left and right by windows of the
+least length: those that hold a block of the run and lie in no proven passage are open, and their hashes are looked up
+among the windows of all documents. So each suffix meets one neighbour, a text is shuffled once, and work is linear in a
+passage's copies.
 """
 
 from __future__ import annotations
@@ -38,20 +38,8 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
-def _codes(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> np.ndarray:
-    """Eight 8-bit hashes of word pairs that lead away from ``at`` (step 1: to the right of it, -1: to the left), the nearest in the
-    highest bits, so codes in order put alike contexts side by side. Pairs that pass low..high count as nothing."""
-    out = np.zeros(len(at), np.uint64)
-    pair = rolling(h, 2) >> np.uint64(56) if len(h) > 1 else np.zeros(1, np.uint64)
-    for k in range(8):
-        p = at + 2 * k if step > 0 else at - 2 * k - 2
-        ok = (p >= low) & (p + 2 <= high)
-        out |= np.where(ok, pair[np.clip(p, 0, len(pair) - 1)], np.uint64(0)) << np.uint64(56 - 8 * k)
-    return out
-
-
 def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
-    """doc_id, pos, key (hash of the first ``block`` words), and codes of what stands before (left) and after them (more)."""
+    """doc_id, pos and key: the hash of the first ``block`` words."""
 
     def run(batches):
         claim("suffix_dedup")
@@ -59,7 +47,7 @@ def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1).to_pylist()):
                 w = Words(part)
-                keys = rolling(w.h, block)
+                keys = run_hashes(w.h, block)
                 out_d, out_p = [], []
                 for i in range(len(part)):
                     a, b = w.first[i], w.first[i + 1]
@@ -68,15 +56,11 @@ def _suffixes(docs: DataFrame, block: int, window: int) -> DataFrame:
                         p = p[p + block <= b - a]
                         out_p.append(p)
                         out_d.append(np.full(len(p), i))
-                if not out_p:
-                    continue
-                p, d = np.concatenate(out_p), np.concatenate(out_d)
-                low, high = w.first[d], w.first[d + 1]
-                g = p + low
-                left, more = _codes(w.h, g, low, high, -1), _codes(w.h, g + block, low, high, 1)
-                yield pa.record_batch({"doc_id": pa.array(ids[at + d].astype(np.int64)), "pos": pa.array(p.astype(np.int32)), "key": pa.array(keys[g].view(np.int64)), "left": pa.array(left.view(np.int64)), "more": pa.array(more.view(np.int64))})
+                if out_p:
+                    p, d = np.concatenate(out_p), np.concatenate(out_d)
+                    yield pa.record_batch({"doc_id": pa.array(ids[at + d].astype(np.int64)), "pos": pa.array(p.astype(np.int32)), "key": pa.array(keys[p + w.first[d]].view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, key long, left long, more long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, key long")
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
@@ -163,54 +147,43 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
 
 
 def _extend(runs: DataFrame, least: int, block: int, window: int) -> DataFrame:
-    """Passages along the neighbours of a run's first and last match, for as long as the words are equal, with code points at both ends.
-
-    Rows with a hash are the open windows of ``least`` words: those that hold a block of the run and are not part of a passage
-    found here. A shared window keeps its first minimiser, so it starts at most ``window`` - 1 words before the run and ``block`` before its end.
-    """
-
-    def same(x: np.ndarray, y: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        off = np.flatnonzero(x[:n] != y[:n])
-        return int(off[0]) if len(off) else n
-
-    def words(text):
-        return Words([(text or "").encode("utf-8", "surrogatepass")])
+    """Passages that a document's chains of matches prove, with code points at both ends, and (rows with a hash) its open windows of ``least``
+    words: those that hold a block of a run and are not part of a proven passage. A shared window keeps its first minimiser, so it starts at
+    most ``window`` - 1 words before a run and ``block`` before its end."""
 
     def run(batches):
         claim("suffix_dedup")
         for batch in batches:
-            doc, w0, w1, lo, lo_diag, hi, hi_diag, ta, tlo, thi = (batch.column(i).to_pylist() for i in range(10))
-            rows, passing, text, a = [], [], None, None
-            for i in range(len(doc)):
-                if text is None or ta[i] != text:
-                    text, raw = ta[i], (ta[i] or "").encode("utf-8", "surrogatepass")
-                    a = Words([raw])
-                    ends = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                s, e = w0[i], w1[i]
-                u, v = max(0, s - window + 1), min(e - block, len(a.h) - least)
-                open_ = np.ones(max(0, v - u + 1), bool)
-                near = [(lo[i], s, lo_diag[i], tlo[i])]
-                if (hi[i], hi_diag[i]) != (lo[i], lo_diag[i]) or s + same(a.h[s:], (b := words(tlo[i]).h)[max(0, s + lo_diag[i]) :]) < e:
-                    near.append((hi[i], e - block, hi_diag[i], tlo[i] if thi[i] is None else thi[i]))
-                for other, at, d, tb in near:
-                    b = words(tb).h
-                    if not 0 <= at + d < len(b) or a.h[at] != b[at + d]:
-                        continue
-                    x, y = at - same(a.h[:at][::-1], b[: at + d][::-1]), at + same(a.h[at:], b[at + d :])
-                    if y - x >= least:
-                        open_[max(0, x - u) : max(0, y - least - u + 1)] = False
-                        rows.append((doc[i], x, y, int(ends[a.start[x]]) - 1, int(ends[a.end[y - 1] - 1]), other))
-                at = u + np.flatnonzero(open_)
-                if len(at):
-                    passing.append((np.full(len(at), doc[i], np.int64), at, at + least, ends[a.start[at]] - 1, ends[a.end[at + least - 1] - 1], run_hashes(a.h, least)[at].view(np.int64)))
+            rows, passing = [], []
+            for doc, text, pos, other, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                raw = text.encode("utf-8", "surrogatepass")
+                words = Words([raw])
+                n = len(words.h)
+                ends = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                order = np.argsort(np.array(pos), kind="stable")
+                p, o = np.array(pos)[order], np.array(other)[order]
+                d = np.array(at)[order] - p
+                meets = p[1:] <= p[:-1] + block
+                chain = np.flatnonzero(np.concatenate([[True], ~(meets & (o[1:] == o[:-1]) & (d[1:] == d[:-1]))]))
+                spans = [(s, e, k) for s, e, k in zip(p[chain].tolist(), (p[np.append(chain[1:], len(p)) - 1] + block).tolist(), o[chain].tolist()) if e - s >= least]
+                open_ = np.zeros(max(0, n - least + 1), bool)
+                first = np.flatnonzero(np.concatenate([[True], ~meets]))
+                for s, e in zip(p[first].tolist(), (p[np.append(first[1:], len(p)) - 1] + block).tolist()):
+                    open_[max(0, s - window + 1) : e - block + 1] = True
+                for s, e, k in spans:
+                    open_[s : e - least + 1] = False
+                    rows.append((doc, s, e, int(ends[words.start[s]]) - 1, int(ends[words.end[e - 1] - 1]), k))
+                w = np.flatnonzero(open_)
+                if len(w):
+                    passing.append((np.full(len(w), doc, np.int64), w, w + least, ends[words.start[w]] - 1, ends[words.end[w + least - 1] - 1], run_hashes(words.h, least)[w].view(np.int64)))
             names = ["doc_id", "w0", "w1", "c0", "c1", "other", "hash"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)), pa.nulls(len(rows), pa.int64())], names)
+            types = [pa.int64(), *[pa.int32()] * 4, pa.int64()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)), pa.nulls(len(rows), pa.int64())], names)
             if passing:
                 doc_id, x, y, c0, c1, h = (np.concatenate(c) for c in zip(*passing))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in (doc_id, x, y, c0, c1)), pa.nulls(len(x), pa.int64()), pa.array(h)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id), *(pa.array(c.astype(np.int32)) for c in (x, y, c0, c1)), pa.nulls(len(x), pa.int64()), pa.array(h)], names)
 
-    return runs.mapInArrow(run, "doc_id long, w0 long, w1 long, c0 long, c1 long, other long, hash long")
+    return runs.select("doc_id", "text", "m.pos", "m.other", "m.other_pos").mapInArrow(run, "doc_id long, w0 int, w1 int, c0 int, c1 int, other long, hash long")
 
 
 def _holders(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
@@ -236,22 +209,13 @@ def _holders(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
     return found.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
 
 
-def _runs(hits: DataFrame, block: int) -> DataFrame:
-    """doc_id, w0, w1, lo, lo_diag, hi, hi_diag: the stretches that a document's matching blocks cover, with the neighbours of the
-    first and the last match."""
-    at = Window.partitionBy("doc_id").orderBy("pos", "other", "other_pos")
-    far = F.lag("pos").over(at)
-    marked = hits.withColumn("new", F.when(far + block >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    match = F.struct("pos", "other", (F.col("other_pos") - F.col("pos")).alias("diag"))
-    whole = marked.groupBy("doc_id", "run").agg(F.min(match).alias("lo"), F.max(match).alias("hi"))
-    return whole.select("doc_id", F.col("lo.pos").alias("w0"), (F.col("hi.pos") + block).alias("w1"), F.col("lo.other").alias("lo"), F.col("lo.diag").alias("lo_diag"), F.col("hi.other").alias("hi"), F.col("hi.diag").alias("hi_diag"))
-
-
 def _hits(spark, suffixes: DataFrame, folder: str) -> DataFrame:
-    """Suffixes with a neighbour, and that neighbour: the nearest before in the order, else the one after."""
+    """doc_id, pos, other, other_pos: suffixes with a neighbour, and that neighbour: the nearest before in the order, else the one after."""
+    suffixes = materialise(spark, suffixes, folder, "suffixes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "left", "more", "doc_id", "pos"]
+    order = ["key", "doc_id", "pos"]
     near = materialise(spark, _neighbours(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)), folder, "near")
+    discard(spark, folder, "suffixes")
     # runs that a partition's edge cut: at most two edge rows a partition
     edges = near.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi"))
     partner = F.when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo")).when(F.col("hi.doc_id") != F.col("doc_id"), F.col("hi"))
@@ -272,9 +236,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     words or more that another document has too, joined where they meet. other_doc_id is one that shares a part.
 
     Words are runs between ASCII white space, A-Z lower-cased. Every window of least_words keeps its first minimiser within
-    ``window`` words of its start, with a whole block, so each shared window is in a run of matches on both sides: either a passage
-    that is compared word by word holds it, or it is looked up among the windows of all documents. Nothing shared is left out,
-    and nothing is returned of which no document has least_words in a row.
+    ``window`` words of its start, with a whole block, so each shared window is in a run of matches on both sides: either a chain of
+    matches proves it, or it is looked up among the windows of all documents. Nothing shared is left out, and nothing is returned
+    of which no other document has least_words in a row.
 
     Repeats inside one document alone don't count. Null or short texts give no rows; rows with a null doc_id are left out. Rows that
     share a doc_id are documents of their own, of equal ones one (their shared passages name that doc_id on both sides). Empty input: no rows.
@@ -286,13 +250,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, block: int = 30, w
     folder = shared_dir(spark)
     docs, ids = _numbered(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"), folder)
     hits = _hits(spark, _suffixes(docs, block, window), folder)
-    runs = materialise(spark, _runs(hits, block), folder, "runs")
+    runs = materialise(spark, hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "other", "other_pos")).alias("m")), folder, "runs")
     discard(spark, folder, "near")
-    texts = materialise(spark, rows_of(docs, runs.select("doc_id").union(runs.select("lo")).union(runs.select("hi"))), folder, "texts")
-    first, last = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("lo", "hi"))
-    both = runs.withColumn("hi_", F.when(F.col("hi") != F.col("lo"), F.col("hi"))).join(texts, "doc_id").join(first, "lo").join(last.withColumnRenamed("hi", "hi_"), "hi_", "left")
-    found = materialise(spark, _extend(both.select("doc_id", "w0", "w1", "lo", "lo_diag", "hi", "hi_diag", "text", "tlo", "thi"), least_words, block, window), folder, "found")
-    discard(spark, folder, "runs", "texts")
+    both = rows_of(docs, runs.select("doc_id")).join(runs, "doc_id")
+    found = materialise(spark, _extend(both, least_words, block, window), folder, "found")
+    discard(spark, folder, "runs")
     open_ = found.where("hash is not null")
     shared = open_.drop("other").join(_holders(docs, open_, least_words), "hash").select(
         "doc_id", "w0", "w1", "c0", "c1", F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other")
