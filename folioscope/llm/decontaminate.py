@@ -105,3 +105,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sql() -> str:
+    """The default rule in DuckDB, without seeds: equal words of a document and an item by shift. In a run of positions an equal word counts 1 and
+    another -2, so the best run that ends at the k-th equal word, at position p, is the rise of 3 k - 2 p over its least value so far, plus 1."""
+    words = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {words.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, {words.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dw AS (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS w FROM d), bw AS (SELECT item_id, len(w) AS m, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS w FROM b),
+hit AS (SELECT doc_id, item_id, n, m, i - p AS shift, p FROM dw JOIN bw ON dw.w = bw.w),
+many AS (SELECT doc_id, item_id, n, m, shift, count(*) AS matched FROM hit GROUP BY ALL HAVING count(*) >= least(m, 8)),
+f AS (SELECT h.doc_id, h.item_id, h.n, h.m, h.shift, matched, h.p, 3 * row_number() OVER (PARTITION BY h.doc_id, h.item_id, h.shift ORDER BY h.p) - 2 * h.p AS f FROM hit h JOIN many USING (doc_id, item_id, shift)),
+r AS (SELECT *, f - min(f) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) + 1 AS run FROM f),
+s AS (SELECT doc_id, item_id, shift, m, max(run) AS score, matched, (least(m, n - shift) - greatest(0, -shift)) AS overlap FROM r GROUP BY doc_id, item_id, shift, m, n, matched),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, matched DESC, overlap DESC, shift DESC) AS k FROM s WHERE score >= 12 OR (matched >= ceil(m * 0.7::DOUBLE) AND matched >= least(m, 8)))
+SELECT doc_id, item_id, matched::BIGINT AS matched, overlap::BIGINT AS overlap, score::BIGINT AS score FROM best WHERE k = 1
+"""

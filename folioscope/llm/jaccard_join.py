@@ -267,3 +267,20 @@ def drop_near_copies(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     """
     parts = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(parts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+
+
+def sql(words: int = 4, percent: int = 85) -> str:
+    """The components in DuckDB, by counting the shingles that documents share and following links; for tables of a few thousand rows."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    following = "".join(f", lead(w, {k}) OVER x" for k in range(1, words))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+g AS (SELECT doc_id, i, n, concat_ws(' ', w{following}) AS t FROM e WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, hash(t) AS t FROM g WHERE i <= greatest(1, n - {words - 1})),
+n AS (SELECT d.doc_id, count(t.t) AS n FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -112,7 +112,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (their identifiers, comma-joined), licenses (of the matching rules in rule
     order, each once, comma-joined) and license (the first of them, null without any) for every row, from its whole text.
 
-    Null and empty texts: no sentence. Repeated rows are scanned each for itself; a null doc_id is kept.
+    A known sentence may stand over several lines, with comment leaders and any other signs and white space between its words, but not across a
+    blank line; its length does not matter. Null and empty texts: no sentence. Repeated rows are scanned each for itself; a null doc_id is kept.
     """
     rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("p")) for k, (name, ids) in enumerate(RULES)])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(_identifiers(F.col("text")), ",").alias("sentence_ids"))
@@ -127,22 +128,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB, without look-around: lines become blocks at blank lines and pieces at sentence ends; a known sentence is a row of whole
+    pieces of one block, the longest from where it starts, each piece used once from the left."""
     known = ", ".join(f"('{s}', '{k}')" for s, k in _known().items())
     rules = ", ".join(f"({k}, '{name}', '{_pattern(ids)}')" for k, (name, ids) in enumerate(RULES))
     return f"""
-WITH known(s, id) AS (VALUES {known}),
+WITH RECURSIVE known(s, id) AS (VALUES {known}),
 rules(k, name, p) AS (VALUES {rules}),
-lines AS (
-  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s
-  FROM (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS l FROM documents)
+docs AS (SELECT doc_id, string_split(translate(lower(text), chr(1) || chr(2), '  '), chr(10)) AS l FROM documents WHERE regexp_matches(lower(text), '{TELLING}')),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s, len(l) AS n FROM docs),
+blocks AS (SELECT *, sum(CASE WHEN i > 1 AND i < n AND NOT regexp_matches(s, '[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM lines),
+pieces AS (SELECT doc_id, b, i, generate_subscripts(l, 1) AS k, trim(regexp_replace(unnest(l), '[^a-z0-9]+', ' ', 'g')) AS t FROM (SELECT *, string_split_regex(s, '[.!?;:][ \\t]+') AS l FROM blocks)),
+placed AS (SELECT doc_id, b, t, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS g, sum(length(t) + 1) OVER (PARTITION BY doc_id, b ORDER BY i, k) - length(t) AS at FROM pieces WHERE t <> ''),
+joined AS (SELECT doc_id, b, string_agg(t, ' ' ORDER BY g) AS whole FROM placed GROUP BY doc_id, b),
+found AS (
+  SELECT p.doc_id, p.g, e.g AS g_end, id, row_number() OVER (PARTITION BY p.doc_id, p.g ORDER BY length(s) DESC) AS longest
+  FROM placed p JOIN known ON split_part(p.t, ' ', 1) = split_part(s, ' ', 1) JOIN joined j ON j.doc_id = p.doc_id AND j.b = p.b AND substr(j.whole, p.at::BIGINT, length(s)) = s
+  JOIN placed e ON e.doc_id = p.doc_id AND e.b = p.b AND e.at + length(e.t) = p.at + length(s)
 ),
-ids AS (
-  SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids, count(*) AS n
-  FROM lines JOIN known ON trim(regexp_replace(lines.s, '[^a-z0-9]+', ' ', 'g')) = known.s
-  WHERE length(lines.s) BETWEEN 8 AND 600
-  GROUP BY doc_id
+best AS (SELECT doc_id, g, g_end, id FROM found WHERE longest = 1),
+taken AS (
+  SELECT doc_id, g, g_end, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS r FROM best) WHERE r = 1
+  UNION ALL SELECT doc_id, g, g_end, id FROM (SELECT x.*, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.g) AS r FROM taken JOIN best x ON x.doc_id = taken.doc_id AND x.g > taken.g_end) WHERE r = 1
 ),
+ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY g) AS sentence_ids, count(*) AS n FROM taken GROUP BY doc_id),
 hit AS (SELECT doc_id, k, name, p FROM ids, rules WHERE contains(',' || sentence_ids || ',', p)),
 own AS (
   SELECT doc_id, name, min(k) AS k FROM hit h

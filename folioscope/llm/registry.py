@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan
+from . import decontaminate, jaccard_join, license_scan
 from .common import held_out
 
 
@@ -103,5 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only licence scans are feasible in SQL on whole tables; the others are tested against brute force."""
-    return {"op5_license_scan": license_scan.sql()}
+    """Licence scans, benchmark overlaps and components in SQL on whole tables; the others are tested against brute force."""
+    return {"op5_license_scan": license_scan.sql(), "op6_decontamination": decontaminate.sql(), "op7_jaccard_join": jaccard_join.sql()}

@@ -55,6 +55,17 @@ def test_license_sentences_over_lines(spark):
     title = "mit-title," + ",".join(mit)
     want = [",".join(mit), ",".join(mit), ",".join(gpl), "bsd-grant", ",".join(mit[:2]), ",".join(gpl), title, "", "", "bsd-grant"]
     assert got == dict(enumerate(want))
+    # the SQL reads lines, blocks and pieces alike
+    rng = random.Random(2)
+    every = [x for v in s.values() for x in v]
+    mixed = [". ".join(rng.choice(["", "Some text", "\n", "\n\n", "all rights"]) + "\n".join(textwrap.wrap(rng.choice(every).upper(), rng.choice([20, 60, 400]))) for _ in range(4)) for _ in range(150)]
+    rows = [*enumerate([*texts, "This work is dedicated to the public-domain.", "The MIT License\n(MIT)\nMIT License", "MIT License\n"]), *enumerate(mixed, 100), (300, None), (301, "")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(f"SELECT doc_id, n_sentences, sentence_ids, licenses, license FROM ({license_scan.sql()})").fetchall()
+    got = license_scan.scan(spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and sum(r[1] for r in want) > 200
     assert all(re.search(license_scan.TELLING, x) for v in s.values() for x in v)
 
 
@@ -117,6 +128,13 @@ def test_overlaps_find_all_that_the_rule_accepts(spark):
     got = decontaminate.overlaps(spark.createDataFrame([(d, " ".join(w), "", 0) for d, w in docs], SCHEMA), b)
     native(got)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(d, " ".join(w)) for d, w in docs])
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(i, " ".join(t)) for i, t in items])
+    rows = con.sql(f"SELECT doc_id, item_id, matched, overlap, score FROM ({decontaminate.sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
 
 
 def test_fingerprints_follow_the_definition(spark):
