@@ -57,13 +57,6 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, lengthened until no column of df has it."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def quoted(name: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

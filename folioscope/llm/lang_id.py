@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_sample, chunks, claim, free_name, quoted, ship
+from .common import LOWER, SPACE, bounded_sample, chunks, claim, quoted, ship
 
 SIZES = (2, 3, 4)
 
@@ -116,7 +116,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    source = docs.select(*[quoted(c) for c in rest], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "letters")))
+    # plain names inside, so that no column's own name can clash
+    source = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     at_text = rest.index("text")
 
     def score(batches):

@@ -3,7 +3,8 @@
 Overlong documents are first cut into full windows. What is left of each document goes, longest first, into the
 open window with the tightest sufficient room; the tree answers "smallest capacity >= length that some open
 window has" in log2(window) steps. Each task packs the documents of its own input split, so nothing is shuffled
-and a lost task is simply run again; only lengths and checksums are kept until the end of a split, never tokens.
+and a lost task is simply run again. Until the end of a split a task keeps lengths and checksums, and of each document the compressed ids
+of its last piece alone (under a window), as that may have to be cut.
 The few windows left with much room at the end of a split are cut anew into full ones.
 """
 

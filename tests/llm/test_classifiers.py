@@ -1,5 +1,6 @@
 """op1, op3, op4: held-out accuracy on the test tables, and edges."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,44 @@ def test_quality_edges(spark):
     assert {r.expected_grade for r in quality.score(docs, None).collect()} == {None}
     assert quality.select(docs, model).columns == docs.columns
     assert quality.train(docs, labels.limit(0)) is None
+
+
+def test_language_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", 5, 6, 7)], "doc_id long, text string, lang string, letters int, letters_ int, `a.b` int")
+    out = lang_id.identify(docs, lang_id.train(docs))
+    assert out.columns == [*docs.columns, "lang_pred", "score", "rejected"] and out.select("letters", "letters_", "`a.b`").collect() == [(5, 6, 7)]
+
+
+def test_quality_scores_follow_the_weights(spark):
+    """Scores from words one by one, and a fitted model tells its rows better than thresholds alone."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    good, bad = [f"good{i}" for i in range(30)], [f"poor{i}" for i in range(30)]
+    rows = [(" ".join(rng.choices(good if g else bad, k=rng.randint(1, 40))), g) for g in (0, 1) for _ in range(60)]
+    m = quality.fit(rows, bits=12)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def tail(text):
+        h = [int(quality._words([w.encode()])[0].h[0]) for w in text.split()]
+        e = [int(quality._words([w.encode()])[1][0]) for w in text.split()]
+        pair = [int(quality._buckets(np.array([a, b], np.uint64), np.zeros(2, np.uint64), 12)[2][0]) for a, b in zip(np.array(h, np.uint64), np.array(h[1:], np.uint64))]
+        z = sum(float(m.weights[x >> 52]) for x in [*h, *e]) + sum(float(m.weights[b]) for b in pair)
+        return 1 - sig(m.thresholds[0] - z / max(1, len(h)))
+
+    texts = [t for t, _ in rows] + ["", "unseen words here"]
+    got = {r.doc_id: r.tail_probability for r in quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), m).collect()}
+    assert all(abs(got[i] - tail(t)) < 1e-6 for i, t in enumerate(texts))
+    loss = lambda p, g: -math.log(max(1e-9, p if g else 1 - p))
+    assert sum(loss(got[i], g) for i, (_, g) in enumerate(rows)) < 0.5 * len(rows) * math.log(2)
+
+
+def test_samples_are_bounded_before_they_are_collected(spark):
+    from folioscope.llm.common import bounded_sample
+
+    rows = [(1, "same", "en")] * 50 + [(1, f"other {i}", "en") for i in range(50)] + [(2, "x" * 900, "en"), (3, "drei", "de"), (None, "n", "en"), (4, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = bounded_sample(docs, ["text", "lang"], 10, 500)
+    assert len(got) <= 10 and sum(len(r.text) for r in got) <= 500 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert {r.lang for r in bounded_sample(docs, ["text", "lang"], 10, 500, by="lang")} == {"en", "de"}

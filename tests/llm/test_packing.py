@@ -101,3 +101,15 @@ def test_round_trip(spark):
 @pytest.mark.parametrize("rows", [[], [(None, "a", 1, "x")]])
 def test_edges(spark, rows):
     assert len(pack(spark.createDataFrame(rows, SCHEMA), tokenizer_path()).collect()) == len(rows)
+
+
+def test_rows_that_share_an_id_are_packed_each_for_itself(spark):
+    rows = [(1, "one two three", 0, ""), (1, "four five " * 900, 0, ""), (1, None, 0, ""), (1, "one two three", 0, "")]
+    got = pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), tokenizer_path(), 64, 1).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in sorted(v)) <= 64 and all(o == sum(n for p, n in v if p < o) for o, _ in v) for v in by.values())
+    small = [r for r in got if r.doc_tokens < 64]
+    assert sum(r.length for r in small) == sum({r.doc_tokens for r in small}) + max(r.doc_tokens for r in small)  # the null text once, the short one twice
+    assert sum(r.length for r in got if r.doc_tokens >= 64) == next(r.doc_tokens for r in got if r.doc_tokens >= 64)

@@ -32,3 +32,32 @@ def test_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == set(masked)
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder(spark, tmp_path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_edges(spark, tmp_path):
+    """Null and empty texts are rejected with their unknown language; copies leave one row; rows that share an id stay together."""
+    text = "the house of the man and the dog that was not in the garden with all the other animals of the farm " * 3
+    other = "it is the end of the story and there was nothing more to be said by the people from the town " * 3
+    leak = other + " ".join(f"item{i}" for i in range(30))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, text, "en", "a", 1), (4, text, "en", "b", 1), (4, text, "en", "b", 1), (5, text, None, None, None), (5, other, "en", "c", 3), (6, leak, "en", "c", 3), (7, "12 34", None, "z", 5)]
+    sf = folder(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", "), name
+    assert {r.doc_id for r in docs.collect()} == {None, 4, 5} and docs.where("doc_id = 4").count() == 1
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == {None, 4, 5}
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).collect() == []
