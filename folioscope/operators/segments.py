@@ -97,6 +97,20 @@ def terms_in(seg: DataFrame, terms: DataFrame, longest: int = 1) -> DataFrame:
     return runs.withColumn("salt", F.pmod(F.xxhash64(*READING), F.lit(SALTS)).cast("int")).join(terms.select("*", salt), ["term", "salt"]).drop("salt")
 
 
+def inflected_in(seg: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """READING, term: terms (one word, lower case, of the given lengths) that a word of the text begins with; of terms of four letters or more the last letter
+    may differ where the word goes on for two more. Equality of word beginnings, so the glossary may be of any size."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
+    starts = [F.transform(F.filter("w", lambda w: F.length(w) >= n), lambda w: F.struct(F.lit("whole").alias("how"), F.substring(w, 1, n).alias("start"))) for n in lengths]  # noqa: B023
+    starts += [F.transform(F.filter("w", lambda w: F.length(w) >= n + 2), lambda w: F.struct(F.lit(f"less{n}").alias("how"), F.substring(w, 1, n - 1).alias("start"))) for n in lengths if n >= 4]  # noqa: B023
+    found = seg.select(*READING, words.alias("w")).select(*READING, F.explode(F.array_distinct(F.flatten(F.array(*starts)))).alias("s")).select(*READING, "s.*")
+    n = F.length("term")
+    forms = terms.select("term", F.explode(F.array_compact(F.array(F.struct(F.lit("whole").alias("how"), F.col("term").alias("start")), F.when(n >= 4, F.struct(F.concat(F.lit("less"), n.cast("string")).alias("how"), F.substring("term", F.lit(1), n - 1).alias("start")))))).alias("f")).select("term", "f.*")
+    if forms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        forms = F.broadcast(forms)
+    return found.join(forms, ["how", "start"]).select(*READING, "term").distinct()
+
+
 def prepared(tr: DataFrame) -> DataFrame:
     """What the predicates on replies share, computed once a row: normalised texts and ordinary words of both sides."""
     return tr.select("*", *[f(F.col(c)).alias(f"{k}_{c}") for c in ("source", "target") for k, f in (("norm", T.normalised), ("words", T.ordinary_words))])

@@ -165,11 +165,26 @@ j AS (SELECT doc_id, ord, concat_ws(chr(10), b2, b1) AS b, concat_ws(chr(10), a1
 SELECT doc_id, ord, CASE WHEN length(b) > 120 THEN substr(b, length(b) - 119) ELSE b END AS context_before, substr(a, 1, 120) AS context_after FROM j"""
 
 
+def _with_headings(spark, d):
+    """Lines with a heading of a source list and one of an appendix in every stretch of 40."""
+    n = F.col("ord") % 40
+    return _seg(spark, d).withColumn("text", F.when(n == 9, F.concat(F.lit("7. "), F.get(F.array(*[F.lit(h) for h in T.HEADINGS]), (F.col("doc_id") % len(T.HEADINGS)).cast("int")), F.lit(":"))).when(n == 23, F.lit("Appendix")).otherwise(F.col("text")))
+
+
 def section_state(spark, d):
-    """The state of the nearest heading above, over a whole document; here short lines open and medium ones close a section."""
+    """Lines inside a list of sources: its heading opens it, the next heading (short, a capital first, no end of a sentence) closes it; the state runs over
+    the pages of a document."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.length("text") <= 12, 1).when(F.length("text").between(13, 25), 0)
-    return _seg(spark, d).withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))).select("doc_id", "ord", "inside")
+    t = F.col("text")
+    title = (F.length(t) <= 25) & t.rlike(r"^\p{Lu}") & ~t.rlike("[.!?,;]$")
+    mark = F.when(T.is_bibliography_heading(t), 1).when(title, 0)
+    return _with_headings(spark, d).withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))).select("doc_id", "ord", "inside")
+
+
+_HEADS = ", ".join(f"'{h}'" for h in T.HEADINGS)
+SECTION_SQL = f"""WITH {SEG}, h AS (SELECT doc_id, ord, CASE ord % 40 WHEN 9 THEN '7. ' || [{_HEADS}][doc_id % {len(T.HEADINGS)} + 1] || ':' WHEN 23 THEN 'Appendix' ELSE text END AS text FROM seg),
+m AS (SELECT doc_id, ord, CASE WHEN trim(regexp_replace(regexp_replace(lower(text), '^[0-9ivx.]+[ )]+', ''), '[:.]+$', '')) IN ({_HEADS}) THEN 1 WHEN length(text) <= 25 AND regexp_matches(text, '^\\p{{Lu}}') AND NOT regexp_matches(text, '[.!?,;]$') THEN 0 END AS mark FROM h)
+SELECT doc_id, ord, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS inside FROM m"""
 
 
 def hyphen_join(spark, d):
@@ -191,9 +206,25 @@ SELECT doc_id, ord, CASE WHEN coalesce(regexp_matches(text, '\\p{{L}}-$') AND re
 
 
 def header_repeat(spark, d):
-    """First lines whose digit-folded form starts two documents or more of a source."""
-    first = table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), "[0-9]+", "#").alias("head"))
-    return first.groupBy("source", "head").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """First and last lines of a document's pages that repeat on two pages or more once digits are folded, with the pages they stand on; a document of one page
+    has a header when its only short margin line is the first. Every page gets a numbered running line at either end on half the documents."""
+    s = _seg(spark, d).withColumn("pg", F.floor(F.col("ord") / 40).cast("int"))
+    edge = s.groupBy("doc_id", "pg").agg(F.min(F.struct("ord", "text")).alias("a"), F.max(F.struct("ord", "text")).alias("b"))
+    number = F.concat(F.lit("Page "), (F.col("pg") + 1).cast("string"))
+    head = F.when(F.col("doc_id") % 2 == 0, number).otherwise(F.col("a.text"))
+    foot = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("- "), (F.col("pg") + 7).cast("string"), F.lit(" -"))).otherwise(F.col("b.text"))
+    margins = edge.select("doc_id", "pg", F.explode(F.array(F.struct(F.lit("header").alias("margin"), head.alias("t")), F.struct(F.lit("footer").alias("margin"), foot.alias("t")))).alias("m"))
+    folded = margins.select("doc_id", "pg", "m.margin", F.regexp_replace("m.t", "[0-9]+", "#").alias("key"))
+    g = folded.groupBy("doc_id", "margin", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "margin", "key", "n")
+    short = F.length("key") <= 20
+    alone = folded.groupBy("doc_id").agg(F.max("pg").alias("last"), F.count_if(short).alias("c"), F.max(F.when(short, F.struct("margin", "key"))).alias("m")).where("last = 0 and c = 1 and m.margin = 'header'")
+    return g.union(alone.select("doc_id", "m.margin", "m.key", F.lit(1).cast("long")))
+
+
+HEADER_SQL = f"""WITH {SEG}, e AS (SELECT doc_id, floor(ord / 40)::INT AS pg, arg_min(text, ord) AS a, arg_max(text, ord) AS b FROM seg GROUP BY ALL),
+m AS (SELECT doc_id, pg, 'header' AS margin, CASE WHEN doc_id % 2 = 0 THEN 'Page ' || (pg + 1) ELSE a END AS t FROM e UNION ALL SELECT doc_id, pg, 'footer', CASE WHEN doc_id % 4 = 0 THEN '- ' || (pg + 7) || ' -' ELSE b END FROM e),
+f AS (SELECT doc_id, pg, margin, regexp_replace(t, '[0-9]+', '#', 'g') AS key FROM m), one AS (SELECT doc_id, count(*) FILTER (WHERE length(key) <= 20) AS c, max(pg) AS last FROM f GROUP BY doc_id)
+SELECT doc_id, margin, key, count(*) AS n FROM f GROUP BY ALL HAVING count(*) >= 2 UNION ALL SELECT f.doc_id, margin, key, 1 FROM f JOIN one USING (doc_id) WHERE last = 0 AND c = 1 AND margin = 'header' AND length(key) <= 20"""
 
 
 def weighted_median(spark, d):
@@ -371,9 +402,9 @@ QUERIES = {
     "retry_selection": (retry_selection, RETRY_SQL),
     "untranslated": (untranslated, UNTRANSLATED_SQL),
     "context_windows": (context_windows, CONTEXT_SQL),
-    "section_state": (section_state, f"WITH {SEG} SELECT doc_id, ord, coalesce(last_value(CASE WHEN length(text) <= 12 THEN 1 WHEN length(text) BETWEEN 13 AND 25 THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS inside FROM seg"),
+    "section_state": (section_state, SECTION_SQL),
     "hyphen_join": (hyphen_join, HYPHEN_SQL),
-    "header_repeat": (header_repeat, "SELECT source, regexp_replace(trim(split_part(text, chr(10), 1)), '[0-9]+', '#', 'g') AS head, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "header_repeat": (header_repeat, HEADER_SQL),
     "weighted_median": (weighted_median, f"WITH {SEG}, w AS (SELECT lang, length(text) AS n, unnest(range(len(string_split(text, ' ')))) FROM seg) SELECT lang, quantile_cont(n, 0.5)::DOUBLE AS median FROM w GROUP BY lang"),
     "typical_ratio": (typical_ratio, f"WITH {TR} SELECT lang, round(quantile_cont(length(target) / length(source), 0.5), 6) AS ratio, count(*) AS n FROM tr WHERE target <> '' AND target <> source AND length(source) >= 20 GROUP BY lang HAVING count(*) >= 3"),
     "dominant_style": (dominant_style, f"WITH {SEG}, s AS (SELECT doc_id, ord, length(text) AS n, (CASE WHEN substr(text, 1, 1) = upper(substr(text, 1, 1)) THEN 'U' ELSE 'l' END) || least(3, floor(length(text) / 60))::INT::VARCHAR AS style FROM seg), g AS (SELECT doc_id, style, sum(n) AS n, min(ord) AS f FROM s GROUP BY ALL) SELECT doc_id, arg_max(style, (n, -f)) AS style, max(n)::BIGINT AS chars FROM g GROUP BY doc_id"),
