@@ -288,14 +288,6 @@ def settings(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.least(F.lit(90000), F.greatest(F.lit(1000), F.floor(F.coalesce(raw.try_cast("double"), F.lit(50000.0))).cast("int"))).alias("v"))
 
 
-PROMPT_SQL = f"""WITH {SEG}, g AS (SELECT doc_id, CAST(floor(ord / 8) AS INTEGER) AS b, count(*)::INT AS n, string_agg(text, chr(10)) AS t FROM seg GROUP BY ALL)
-SELECT doc_id, b, n, concat_ws(',', CASE WHEN contains(t, 'the') THEN 'the' END, CASE WHEN contains(t, 'und') THEN 'und' END, CASE WHEN contains(t, 'que') THEN 'que' END, CASE WHEN contains(t, 'les') THEN 'les' END) AS terms FROM g"""
-
-
-def prompt_terms(spark, d):
-    return prompts(spark, d).drop("size")
-
-
 def piece_rescue(spark, d):
     """Missing replies asked for piece by piece and put together; any failed piece keeps the source."""
     t = _tr(spark, d).where("target = ''").withColumn("p", T.pieces(F.col("source"))).where("size(p) > 0").select("doc_id", "ord", "source", F.posexplode("p").alias("k", "x"))
@@ -410,7 +402,6 @@ QUERIES = {
     "wrapped_lines": (wrapped_lines_count, None),
     "timeouts": (timeouts, f"WITH {SEG}, g AS (SELECT doc_id, sum(length(text)) AS n FROM seg GROUP BY doc_id) SELECT doc_id, least(900.0::DOUBLE, greatest(30.0::DOUBLE, 10 + n / 40)) AS timeout, least(60, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE doc_id % 100 END)::INT AS delay FROM g"),
     "settings": (settings, "SELECT o_orderkey, least(90000, greatest(1000, floor(CASE WHEN o_orderkey % 5 = 0 THEN 50000 ELSE o_totalprice END)))::INT AS v FROM orders"),
-    "prompt_terms": (prompt_terms, PROMPT_SQL),
     "piece_rescue": (piece_rescue, PIECE_SQL),
     "glossary_verify": (glossary_verify, f"WITH {TR}, t(term) AS (VALUES ('the'), ('und'), ('que'), ('les')) SELECT term, count(*) AS checked, count(*) FILTER (WHERE contains(' ' || target || ' ', ' ' || term || ' ') OR contains(' ' || target || ' ', ' ' || upper(term) || ' ')) AS honoured FROM tr, t WHERE target <> '' AND contains(' ' || source || ' ', ' ' || term || ' ') GROUP BY term"),
     "off_figures": (off_figures, f"WITH {LAY}, f AS (SELECT doc_id, ord, x1 - x0 AS w, greatest(0.0::DOUBLE, least(x1, 120) - x0, x1 - greatest(x0, 200)) AS free FROM lay) SELECT doc_id, ord, free, free >= 36 AND free >= 0.25::DOUBLE * w AS ok FROM f"),
