@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the file gives fewer splits than there are cores (one large row group, say); otherwise unchanged, so
-    large inputs are never shuffled here."""
+    """The rows over all cores, by document, where the file gives fewer splits than there are cores (one large row group, say); otherwise
+    unchanged, so large inputs are never shuffled here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores, "doc_id") if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
