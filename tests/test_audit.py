@@ -8,6 +8,7 @@ from folioscope.functions import text as T
 from folioscope.operators import audit as A
 from folioscope.operators import wrappers as W
 from folioscope.sources import formats
+from folioscope.sources.tables import segments
 
 SCHEMA = "doc_id long, lang string, pg int, ord int, source string, target string, x0 double, y0 double, x1 double, y1 double, oy double, scanned boolean"
 
@@ -79,6 +80,15 @@ def value(spark, column, t):
     return spark.createDataFrame([(t,)], "t string").select(column.alias("v")).first().v
 
 
+def test_contract_counts_answers_of_several_parts(spark, tmp_path):
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "'en' AS lang", "'a\\nb\\nc\\nd' AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    requests = segments(spark, str(tmp_path))
+    got = requests.where("(doc_id + ord) % 4 > 0")
+    replies = got.union(got.where("(doc_id + ord) % 4 = 3")).union(requests.where("ord = 0").withColumn("ord", F.lit(-1)))
+    assert tuple(W.contract(requests, replies).first()) == (40, 40, 40)
+
+
 @pytest.mark.parametrize("reply,words", [('["a", " b ", ""]', ["a", "b"]), ('```json\n["a"]\n```', ["a"]), ('Sure: ["a", "b", "c", "d"] ok', ["a", "b", "c"]), ('["a", "b', []), ("none", []), ("", [])])
 def test_keyword_replies(spark, reply, words):
     assert value(spark, R.keywords(F.col("t"), 3), reply) == words
