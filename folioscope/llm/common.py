@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, shared_dir
+
 _SHIPPED: set[str] = set()
 
 
@@ -29,26 +30,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the cluster's shared checkpoint folder. Its own folder only where none is named and all tasks run in this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_dir.get() if set_dir.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folioscope-shared-")
-    return f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
-
-
-def materialise(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back with the known schema."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
     """Remove written tables that nothing reads any longer."""
     jvm = spark.sparkContext._jvm
