@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,14 @@ from ..sources.shared import materialise, shared_dir
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session sets none; under Spark's own limit one batch may hold all texts of a split.
+BATCH = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so Python workers can import it."""
+    """Send this package to the executors once per application, so Python workers can import it; batches that go there are small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -83,13 +92,27 @@ def bounded_sample(docs: DataFrame, columns: list[str], max_rows: int, max_bytes
     return sorted(own.select("doc_id", *columns).collect(), key=lambda r: (r.doc_id, str(r)))
 
 
+def give_back() -> None:
+    """Memory that nothing holds any longer goes back to the system; Arrow's pool and the C heap would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _HOLDS: dict[str, object] = {}
+_RUNS: dict[str, str] = {}
 
 
 def claim(owner: str, release=None) -> None:
-    """In a Python worker: let go of the tables that other operators' tasks have kept there; ``release`` is called when another one runs."""
-    for other in [k for k in _HOLDS if k != owner]:
-        _HOLDS.pop(other)()
+    """In a Python worker: let go of the tables and the memory that other operators' tasks have kept there; ``release`` is called when another one runs."""
+    if _RUNS.get("owner", owner) != owner:
+        for other in [k for k in _HOLDS if k != owner]:
+            _HOLDS.pop(other)()
+        _POW.clear()
+        give_back()
+    _RUNS["owner"] = owner
     if release is not None:
         _HOLDS[owner] = release
 
@@ -242,10 +265,10 @@ def bits_of(numbers: DataFrame):
     h = F.xxhash64(name)
     words = (
         numbers.select(F.shiftrightunsigned(h, 64 - level).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64({name}) & 63 as int))").alias("bit"))
-        .groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+        .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
     bits = np.zeros(1 << level, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     return numbers.sparkSession.sparkContext.broadcast(bits)
 
 
@@ -273,8 +296,6 @@ def _xxhash64(x: np.ndarray) -> np.ndarray:
 def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose doc_id is in the one column of ids, and maybe some others: a filter tests Arrow batches before any shuffle;
     where the ids are too many for it, the rows meet them in a join."""
-    import pyarrow as pa
-
     held = bits_of(ids)
     if held is None:
         return df.join(ids.distinct().select(F.col(ids.columns[0]).alias("doc_id")), "doc_id", "left_semi").select(*df.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_sample, chunks, claim, quoted, ship
+from .common import LOWER, SPACE, bounded_sample, chunks, claim, give_back, quoted, ship
 
 SIZES = (2, 3, 4)
 
@@ -104,7 +104,10 @@ def train(docs: DataFrame, max_rows: int = 2500, max_bytes: int = 24_000_000) ->
     """Fit on at most ``max_rows`` labelled rows and ``max_bytes`` of text, taken in the order of a hash of doc_id. None without any."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = bounded_sample(usable, ["text", "lang"], max_rows, max_bytes, by="lang")
-    return fit([(r.text, r.lang) for r in rows]) if rows else None
+    model = fit([(r.text, r.lang) for r in rows]) if rows else None
+    del rows
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

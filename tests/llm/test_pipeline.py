@@ -61,3 +61,37 @@ def test_edges(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).collect() == []
+
+
+def test_workers_get_small_batches_and_give_memory_back(spark):
+    import pyarrow as pa
+
+    from folioscope.llm import common
+
+    common.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": [b.nbytes]})
+
+    texts = spark.range(0, 24, 1, 1).selectExpr("id", "repeat('a b c d ', 125000) AS text")
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 8_000_000  # 24 MB in all
+    common.claim("one", (held := [1]).clear)
+    common._powers(10)
+    common.claim("one")
+    assert held and common._POW
+    common.claim("two")
+    assert not held and not common._POW
+
+
+def test_driver_collects_filters_without_a_row_object_each(spark):
+    import tracemalloc
+
+    from folioscope.llm.common import bits_of
+
+    numbers = spark.range(0, 300_000).selectExpr("xxhash64(id) AS h")
+    tracemalloc.start()
+    held = bits_of(numbers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int((held.value != 0).sum()) > 100_000 and peak < 16_000_000
