@@ -63,10 +63,10 @@ def _frequent(docs: DataFrame, words: int, least: int = 16) -> np.ndarray:
     rows = (
         docs.select("text").mapInArrow(repeated, "t long, c long")
         .groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        .groupBy(F.expr(f"cast(t & {LEVELS - 1} as int)").alias("b")).agg(F.max("c").alias("c")).toPandas()
+        .groupBy(F.expr(f"cast(t & {LEVELS - 1} as int)").alias("b")).agg(F.max("c").alias("c")).toArrow()
     )
     out = np.zeros(LEVELS, np.uint8)
-    out[rows["b"].to_numpy(np.int64)] = np.minimum(255, 1 + 8 * np.log2(rows["c"].to_numpy(float) / least)).astype(np.uint8)
+    out[rows["b"].to_numpy()] = np.minimum(255, 1 + 8 * np.log2(rows["c"].to_numpy() / least)).astype(np.uint8)
     return out
 
 
