@@ -11,11 +11,14 @@ The few windows left with much room at the end of a split are cut anew into full
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,81 +26,165 @@ from pyspark.sql import functions as F
 from .common import claim, ship
 
 #: Characters that Python's split() takes for white space and the tokenizer does not, and the start of its special tokens.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = "[\x1c-\x1f]|<\\|"
 #: Outside of these ranges lower case and letter classes are left to the tokenizer.
 _WIDE = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: What the tokenizer cuts text into before it merges: each is merged by itself and ends with one token of a word's end.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words kept for good, and further words and pieces kept until as many are there.
-WORDS_HELD, WORDS_PASSING, PIECES_HELD = 400_000, 150_000, 500_000
+#: Pieces kept for good, and further ones kept until as many are there.
+HELD, PASSING = 600_000, 300_000
+#: Characters of text that are cut at once; a longer text stands alone.
+CHUNK = 1 << 21
+
+BLANK, LETTER, NUMBER, SIGN = range(4)
+#: What the tokenizer's pattern takes a character of the narrow ranges for.
+_KIND = np.array([BLANK if c.isspace() else LETTER if c.isalpha() else NUMBER if unicodedata.category(c)[0] == "N" else SIGN for c in map(chr, range(0x250))], np.uint8)
+#: Letters that stay with an apostrophe before them.
+_SHORT = [np.frombuffer(x, np.uint8) for x in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")]
+
+
+def wide(text: str) -> bool:
+    return not text.isascii() and _WIDE.search(text) is not None
+
+
+def lowered(text: str) -> str:
+    """Lower case, but for words with wide characters."""
+    return " ".join([w if wide(w) else w.lower() for w in text.split()]) if wide(text) else text.lower()
+
+
+def cut(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 text start a piece, and which are blank.
+
+    Pieces are what the tokenizer cuts text into before it merges: 's|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+. A word with a
+    character outside of the narrow ranges is one piece here. The text ends with two blanks.
+    """
+    kind = _KIND[np.minimum(b, 0x7F)]
+    inner = np.zeros(len(b), bool)
+    lead = np.flatnonzero(b >= 0xC0)
+    beyond = lead[:0]
+    if len(lead):
+        inner = (b & 0xC0) == 0x80
+        code = ((b[lead].astype(np.int32) & 0x1F) << 6) | (b[lead + 1] & 0x3F)
+        far = (b[lead] >= 0xE0) | (code >= 0x250) | (code == 0x130)
+        near, beyond = lead[~far], lead[far]
+        kind[near] = kind[near + 1] = _KIND[code[~far]]
+    blank = kind == BLANK
+    start = (kind != np.concatenate([[BLANK], kind[:-1]])) | (kind == NUMBER)
+    start &= ~inner & ~blank
+    mark = np.flatnonzero(start & (b == 0x27))
+    for short in _SHORT:
+        at = mark
+        for k, x in enumerate(short, 1):
+            at = at[b[at + k] == x]
+        start[at + 1] = False
+        after = at + 1 + len(short)
+        start[after] |= kind[after] == LETTER
+    if len(beyond):
+        words = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+        w = np.unique(np.searchsorted(words, beyond, "right") - 1)
+        turn = np.zeros(len(b), np.int8)
+        turn[words[w] + 1], turn[ends[w]] = 1, -1
+        start &= np.cumsum(turn, dtype=np.int8) == 0
+    return start, blank
 
 
 class WordTokenizer:
-    """Token ids of whole texts from the ids of their words.
+    """Token ids of whole texts from the ids of their pieces.
 
-    The tokenizer file normalises with NFC, white space to one space and lower case, and drops white space between
-    words, so no token spans it: ids of a text are those of its words in a row. Words and the pieces they are made of
-    are held in bounded tables; texts with the odd characters above go through the tokenizer whole.
+    The tokenizer file normalises with NFC, white space to one space and lower case, drops white space, and cuts the rest into pieces that
+    no token spans: ids of a text are those of its pieces in a row. Many texts are cut at once and their distinct pieces numbered by Arrow,
+    so only these are looked up in Python. Pieces are held in a bounded table; words with wide characters are pieces of their own that go
+    through the tokenizer, and texts with the odd characters above go through it whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_file(path)  # the same merges, for pieces that are normalised and cut already
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for token, i in self.t.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-        self.held: dict[str, bytes] = {}
-        self.passing: list[str] = []
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """One call for all: tokens that end a word part the pieces."""
-        ids = np.array(self.t.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(pieces):
-            raw, at = ids.tobytes(), (cut * 4).tolist()
-            self.pieces.update(zip(pieces, (raw[x:y] for x, y in zip([0, *at[:-1]], at))))
-        else:
-            self.pieces.update(zip(pieces, self._ids(pieces)))
-
-    def _learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
-        new = list(dict.fromkeys(words))
-        if plain:
-            parts = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else _PIECE.findall(w) for w in new]
-            pieces = self.pieces
-            if len(pieces) > PIECES_HELD:
-                pieces.clear()
-            missing = list({p for ps in parts for p in ps if p not in pieces})
-            if missing:
-                self._encode_pieces(missing)
-            got = [b"".join([pieces[p] for p in ps]) for ps in parts]
-        else:
-            got = self._ids(new)
-        if len(self.held) >= WORDS_HELD:
-            if len(self.passing) > WORDS_PASSING:
-                for w in self.passing:
-                    del self.held[w]
-                self.passing.clear()
-            self.passing += new
-        fresh = dict(zip(new, got))
-        self.held.update(fresh)
-        return fresh
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        plain = not _WIDE.search(text)
-        words = (text.lower() if plain else text).split()
-        ids = list(map(self.held.get, words))
-        if None in ids:
-            fresh = self._learn([w for w, x in zip(words, ids) if x is None], plain)
-            ids = [fresh[w] if x is None else x for w, x in zip(words, ids)]
-        return b"".join(ids)
+        self.held: dict[str, int] = {}  # the number of a piece; its ids are ids[at[number] : at[number + 1]]
+        self.ids, self.at = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row and where those of each end. One call for all: tokens that end a word part the pieces."""
+        ids = np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, ends) if len(ends) == len(pieces) else self._joined(self._whole(pieces))
+
+    @staticmethod
+    def _joined(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of pieces that are not held yet."""
+        numbers = np.arange(len(new)) + len(self.held)
+        far = [wide(p) for p in new]
+        if any(far):
+            order = np.argsort(far, kind="stable")
+            numbers[order] = numbers.copy()
+            new = [new[i] for i in order.tolist()]
+        narrow = len(new) - sum(far)
+        for pieces, ids_of in ((new[:narrow], self._merged), (new[narrow:], lambda w: self._joined(self._whole(w)))):
+            if pieces:
+                ids, ends = ids_of(pieces)
+                self.held.update(zip(pieces, range(len(self.held), len(self.held) + len(pieces))))
+                self.at = np.concatenate([self.at, ends + len(self.ids)])
+                self.ids = np.concatenate([self.ids, ids])
+        return numbers
+
+    def _forget(self) -> None:
+        """The pieces that came after the first ones."""
+        for p in list(islice(reversed(self.held), len(self.held) - HELD)):
+            del self.held[p]
+        self.at = self.at[: HELD + 1].copy()
+        self.ids = self.ids[: self.at[-1]].copy()
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        of = np.fromiter(map(self.held.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            of[new] = self._learn([pieces[i] for i in new.tolist()])
+        return of
+
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
+        if len(self.held) > HELD + PASSING:
+            self._forget()
+        odd = pc.match_substring_regex(pa.array(texts, pa.string()), _ODD).to_pylist()
+        raw = [b"" if whole else lowered(x).encode() for x, whole in zip(texts, odd)]
+        b = np.frombuffer(b"\n".join([*raw, b"\n"]), np.uint8)
+        start, blank = cut(b)
+        full = ~blank
+        first = np.flatnonzero(start[full]).astype(np.int32)
+        letters = b[full]
+        pieces = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, np.int32(len(letters)))), pa.py_buffer(letters)).dictionary_encode()
+        of = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        n = self.at[of + 1] - self.at[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.at[of] - ends[:-1], n)
+        at += np.arange(len(at))
+        ids = self.ids[at].tobytes()
+        lines = np.cumsum([0, *[len(x) + 1 for x in raw]])
+        cuts = (4 * ends[np.searchsorted(np.flatnonzero(start), lines)]).tolist()
+        return [self._whole([t])[0].tobytes() if whole else ids[x:y] for t, whole, x, y in zip(texts, odd, cuts, cuts[1:])]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text in turn; none for null."""
+        chunk, size = [], 0
+        for text in texts:
+            if chunk and size + len(text or "") > CHUNK:
+                yield from self._encode_chunk(chunk)
+                chunk, size = [], 0
+            chunk.append(text or "")
+            size += len(text or "")
+        if chunk:
+            yield from self._encode_chunk(chunk)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -217,6 +304,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
         ids, start, length, crc, total = [], [], [], [], []  # full windows and rests, in order
         rest: list[int] = []
         tails: dict[int, bytes] = {}
+        kept = "<u2" if max(len(tok.ends), end_id + 1) <= 1 << 16 else "<u4"
+        codec = pa.Codec("zstd", compression_level=1)
         first = TaskContext.get().partitionId() << 33
         count = 0
 
@@ -237,8 +326,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
         for batch in batches:
             full = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = (tok.encode(text) if text else b"") + end
+            for doc, b in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1).to_pylist())):
+                b += end
                 n = len(b) // 4
                 for s in range(0, n, size):
                     piece = b[4 * s : 4 * (s + size)]
@@ -248,11 +337,11 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
                         full.append([(i, 0, size)])
                     else:
                         rest.append(i)
-                        tails[i] = zlib.compress(piece, 1)
+                        tails[i] = codec.compress(np.frombuffer(piece, "<u4").astype(kept).tobytes(), asbytes=True)
             yield batch_of(rows(full, tails))
         windows = [[(rest[i], s, n) for i, s, n in w] for w in arrange([length[i] for i in rest], size, most_left)]
-        cut = {i for w in windows for i, _, n in w if n != length[i]}
-        tails = {i: zlib.decompress(tails[i]) for i in cut}
+        parted = {i for w in windows for i, _, n in w if n != length[i]}
+        tails = {i: np.frombuffer(codec.decompress(tails[i], length[i] * np.dtype(kept).itemsize), kept).astype("<u4").tobytes() for i in parted}
         yield batch_of(rows(windows, tails))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

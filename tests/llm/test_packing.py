@@ -7,7 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from folioscope.llm.packing import Rooms, arrange, best_fit, pack, padding
+from folioscope.llm import packing
+from folioscope.llm.packing import Rooms, WordTokenizer, arrange, best_fit, pack, padding
 from folioscope.llm.registry import tokenizer_path
 
 SCHEMA = "doc_id long, text string, length int, offset string"
@@ -113,3 +114,47 @@ def test_rows_that_share_an_id_are_packed_each_for_itself(spark):
     small = [r for r in got if r.doc_tokens < 64]
     assert sum(r.length for r in small) == sum({r.doc_tokens for r in small}) + max(r.doc_tokens for r in small)  # the null text once, the short one twice
     assert sum(r.length for r in got if r.doc_tokens >= 64) == next(r.doc_tokens for r in got if r.doc_tokens >= 64)
+
+
+def whole(texts):
+    """Ids of the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_character_is_cut_as_the_tokenizer_cuts_it():
+    texts = [f"ab{c}Cd {c} {c}'s9{c}{c}.{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000, 7), *range(0x1F300, 0x1F700)])]
+    got = list(WordTokenizer(tokenizer_path()).encode(texts))
+    assert [t for t, g, w in zip(texts, got, whole(texts)) if g != w] == []
+
+
+def test_random_texts_in_small_chunks_with_a_small_table(monkeypatch):
+    for name, value in (("CHUNK", 300), ("HELD", 40), ("PASSING", 20)):
+        monkeypatch.setattr(packing, name, value)
+    rng = random.Random(3)
+    signs = [*"abcXYZéÉßİıȺɐ'’“́ \t\n\xa0\x85\u2003\u200b.,-_9²<|>\x1c🙂Ω", "'s", "'re", "'ll", "n't", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["x" * 500, ""]
+    tok = WordTokenizer(tokenizer_path())
+    assert list(tok.encode([None, *texts])) == [b"", *whole(texts)]
+    assert len(tok.held) == len(tok.at) - 1 < 40 + 20 + 400 and tok.at[-1] == len(tok.ids)
+
+
+def test_new_words_of_many_texts_are_merged_in_one_call_and_signs_apart():
+    tok, calls = WordTokenizer(tokenizer_path()), []
+
+    class Counted:
+        def __init__(self, t):
+            self.t = t
+
+        def __getattr__(self, name):
+            calls.append(name) if name.startswith("encode") else None
+            return getattr(self.t, name)
+
+    for name in [k for k, v in vars(tok).items() if hasattr(v, "encode_batch_fast")]:
+        setattr(tok, name, Counted(getattr(tok, name)))
+    words = ["".join("qxzv"[i >> 2 * k & 3] for k in range(4)) for i in range(200)]
+    texts = [f"{w} {w}, {w.upper()}. ({w})" for w in words]
+    assert list(tok.encode(texts)) == whole(texts)
+    assert len(calls) == 1
+    assert sorted(tok.held) == sorted([*words, "(", ")", ",", "."])
