@@ -30,9 +30,11 @@ _ODD = "[\x1c-\x1f]|<\\|"
 #: Outside of these ranges lower case and letter classes are left to the tokenizer.
 _WIDE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Pieces kept for good, and further ones kept until as many are there.
-HELD, PASSING = 600_000, 300_000
+HELD, PASSING = 150_000, 100_000
 #: Characters of text that are cut at once; a longer text stands alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Pieces that are merged in one call: a call holds some 500 bytes a piece.
+CALL = 4096
 
 BLANK, LETTER, NUMBER, SIGN = range(4)
 #: What the tokenizer's pattern takes a character of the narrow ranges for.
@@ -97,11 +99,10 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
-        self.merges = Tokenizer.from_file(path)  # the same merges, for pieces that are normalised and cut already
-        self.merges.normalizer = normalizers.Sequence([])
+        self.merges = Tokenizer(self.t.model)  # the same merges, for pieces that are normalised and cut already
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for token, i in self.t.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
@@ -113,8 +114,9 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row and where those of each end. One call for all: tokens that end a word part the pieces."""
-        ids = np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        """Ids of all pieces in a row and where those of each end. One call for many: tokens that end a word part the pieces."""
+        many = (" ".join(pieces[i : i + CALL]) for i in range(0, len(pieces), CALL))
+        ids = np.concatenate([np.array(self.merges.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in many])
         ends = np.flatnonzero(self.ends[ids]) + 1
         return (ids, ends) if len(ends) == len(pieces) else self._joined(self._whole(pieces))
 
@@ -169,10 +171,10 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(self.at[of] - ends[:-1], n)
         at += np.arange(len(at))
-        ids = self.ids[at].tobytes()
+        ids = memoryview(self.ids[at]).cast("B")
         lines = np.cumsum([0, *[len(x) + 1 for x in raw]])
         cuts = (4 * ends[np.searchsorted(np.flatnonzero(start), lines)]).tolist()
-        return [self._whole([t])[0].tobytes() if whole else ids[x:y] for t, whole, x, y in zip(texts, odd, cuts, cuts[1:])]
+        return [self._whole([t])[0].tobytes() if whole else bytes(ids[x:y]) for t, whole, x, y in zip(texts, odd, cuts, cuts[1:])]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text in turn; none for null."""
