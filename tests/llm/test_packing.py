@@ -158,3 +158,19 @@ def test_new_words_of_many_texts_are_merged_in_one_call_and_signs_apart():
     assert list(tok.encode(texts)) == whole(texts)
     assert len(calls) == 1
     assert sorted(tok.held) == sorted([*words, "(", ")", ",", "."])
+
+
+def test_a_call_merges_a_bounded_number_of_pieces():
+    tok, sizes = WordTokenizer(tokenizer_path()), []
+    merges = tok.merges
+
+    class Sized:
+        def encode_batch_fast(self, texts, **kw):
+            sizes.extend(len(x.split()) for x in texts)
+            return merges.encode_batch_fast(texts, **kw)
+
+    tok.merges = Sized()
+    words = ["".join("qxzvjkwy"[i >> 3 * k & 7] for k in range(5)) for i in range(10_000)]
+    texts = [" ".join(words[i : i + 700]) for i in range(0, len(words), 700)]
+    assert list(tok.encode(texts)) == whole(texts)
+    assert sum(sizes) == len(words) and max(sizes) <= 4096
